@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import format_dups, heavy_items, term_counts
+from querymill.llm import format_dups, heavy_items, pii, term_counts
 from querymill.session import table
 
 TEXT = "serp_query_text_url"
@@ -44,4 +44,12 @@ def p4_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _p4(spark, sf).select("field", "term", "occurrences", "records", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_records, p4_found, p4_counts)}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf, "query_log"), "record_id", TEXT, pii.tagger(table(spark, sf, "name_lexicon")))
+
+
+def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redact(table(spark, sf, "query_log"), "record_id", TEXT, pii.tagger(table(spark, sf, "name_lexicon")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_records, p4_found, p4_counts, p5_found, p5_redacted)}
