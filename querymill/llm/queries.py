@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import format_dups, heavy_items, pii, term_counts
+from querymill.llm import format_dups, heavy_items, language, pii, term_counts
 from querymill.session import table
 
 TEXT = "serp_query_text_url"
@@ -52,4 +52,22 @@ def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact(table(spark, sf, "query_log"), "record_id", TEXT, pii.tagger(table(spark, sf, "name_lexicon")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_records, p4_found, p4_counts, p5_found, p5_redacted)}
+LABEL = "serp_query_text_url_language"
+
+
+def _p6(spark: SparkSession, sf: str) -> tuple[DataFrame, language.Machines]:
+    rows = table(spark, sf, "query_log").where("dataset = 'ms-marco'").select("record_id", TEXT, LABEL)
+    return rows, language.train(language.sample_labels(rows, TEXT, LABEL))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows, model = _p6(spark, sf)
+    return language.wrong_labels(rows, "record_id", TEXT, LABEL, model)
+
+
+def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
+    rows, model = _p6(spark, sf)
+    return language.identify(rows, "record_id", TEXT, LABEL, model)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_records, p4_found, p4_counts, p5_found, p5_redacted, p6_found, p6_segments)}
