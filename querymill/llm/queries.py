@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import format_dups, heavy_items, language, pii, term_counts
+from querymill.llm import format_dups, heavy_items, language, pii, residue, term_counts
 from querymill.session import table
 
 TEXT = "serp_query_text_url"
@@ -70,4 +70,15 @@ def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(rows, "record_id", TEXT, LABEL, model)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_records, p4_found, p4_counts, p5_found, p5_redacted, p6_found, p6_segments)}
+_P10 = ("doc_id", "text", "source")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue_documents(table(spark, sf, "documents"), *_P10)
+
+
+def p10_messages(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue_report(table(spark, sf, "documents"), *_P10)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_records, p4_found, p4_counts, p5_found, p5_redacted, p6_found, p6_segments, p10_found, p10_messages)}
