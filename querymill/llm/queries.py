@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import format_dups, heavy_items, language, pii, residue, term_counts
-from querymill.session import table
+from querymill.llm import format_dups, heavy_items, language, mixing, packing, pii, residue, term_counts, tokens
+from querymill.session import materialise, table
 
 TEXT = "serp_query_text_url"
 
@@ -81,4 +81,26 @@ def p10_messages(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue_report(table(spark, sf, "documents"), *_P10)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_records, p4_found, p4_counts, p5_found, p5_redacted, p6_found, p6_segments, p10_found, p10_messages)}
+def _sizes(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    return materialise(tokens.token_counts(table(spark, sf, "documents"), "doc_id", "text", list(keep)), "token-counts")
+
+
+def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_sizes(spark, sf), table(spark, sf, "pack_capacities")).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    containers = table(spark, sf, "pack_capacities")
+    return packing.fill_report(packing.pack(_sizes(spark, sf), containers), containers)
+
+
+def p9_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf, "source"), table(spark, sf, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "mix_targets")
+    return mixing.share_report(mixing.mix(_sizes(spark, sf, "source"), targets), targets)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_records, p4_found, p4_counts, p5_found, p5_redacted, p6_found, p6_segments, p8_packing, p8_fill, p9_selection, p9_shares, p10_found, p10_messages)}
