@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import format_dups, heavy_items, language, mixing, packing, pii, residue, term_counts, tokens
+from querymill.llm import clusters, format_dups, heavy_items, language, mixing, packing, pii, residue, term_counts, tokens
 from querymill.session import materialise, table
 
 TEXT = "serp_query_text_url"
@@ -81,6 +81,14 @@ def p10_messages(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue_report(table(spark, sf, "documents"), *_P10)
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.similarity_clusters(table(spark, sf, "query_embeddings"), "emb_id", "embeddings").withColumnRenamed("id", "emb_id")
+
+
+def p7_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.leaf_report(table(spark, sf, "query_embeddings"), "emb_id", "embeddings")
+
+
 def _sizes(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     return materialise(tokens.token_counts(table(spark, sf, "documents"), "doc_id", "text", list(keep)), "token-counts")
 
@@ -103,4 +111,4 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.share_report(mixing.mix(_sizes(spark, sf, "source"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_records, p4_found, p4_counts, p5_found, p5_redacted, p6_found, p6_segments, p8_packing, p8_fill, p9_selection, p9_shares, p10_found, p10_messages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_records, p4_found, p4_counts, p5_found, p5_redacted, p6_found, p6_segments, p7_found, p7_leaves, p8_packing, p8_fill, p9_selection, p9_shares, p10_found, p10_messages)}
