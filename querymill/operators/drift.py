@@ -61,7 +61,7 @@ def explode_fields(records: DataFrame, file_col: str, record_col: str, payload_c
 
 def ranked_files(files: DataFrame) -> DataFrame:
     """(file_id, feed, rank): the files of each feed in their true order, without gaps. Files without id or feed are left out."""
-    return files.where("file_id is not null and feed is not null").select("file_id", "feed", F.row_number().over(W.partitionBy("feed").orderBy("file_seq", "file_id")).alias("rank"))
+    return files.where("file_id is not null and feed is not null").select("file_id", "feed", F.row_number().over(W.partitionBy("feed").orderBy("file_seq", "file_id")).cast("long").alias("rank"))
 
 
 def catalogue(fields: DataFrame, files: DataFrame) -> DataFrame:

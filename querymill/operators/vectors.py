@@ -38,7 +38,8 @@ def sliced_wasserstein(df: DataFrame, group: str, vector: str, names: tuple[str,
                 own = at[side == s] + np.arange(projections) * bins
                 total[s] += np.bincount(own.ravel(), minlength=projections * bins).reshape(projections, bins)
         s, p = np.nonzero(total.any(axis=2))
-        yield pd.DataFrame({"side": s, "p": p, "counts": [total[a, b].tolist() for a, b in zip(s, p)]})
+        if len(s):
+            yield pd.DataFrame({"side": s, "p": p, "counts": [total[a, b].tolist() for a, b in zip(s, p)]})
 
     counted = rows.mapInPandas(count, "side int, p int, counts array<long>").select("side", "p", F.posexplode("counts").alias("x", "n"))
     sums = counted.groupBy("p", "x").agg(F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("b"))

@@ -75,7 +75,7 @@ def key_from_path(column: str = "path", pattern: str = r"([^/]+?)(?:\.[^/.]+)*$"
 
 def read_skipping(spark: SparkSession, path: str, skip: int, rows: int | None = None, names: list[str] = ("item", "score")) -> DataFrame:
     """Small CSV files with lines before the data: (names…, line, path). The line number is that within the file, counted from the data's first line."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r", ""), "\n")).alias("line", "text"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r", ""), "\n")).alias("line", "text"))
     kept = text.where((F.col("line") >= skip) & (F.trim("text") != "")).withColumn("line", F.col("line") - skip)
     kept = kept.where(F.col("line") < rows) if rows is not None else kept
     parts = F.from_csv(F.col("text"), ", ".join(f"{n} string" for n in names))
