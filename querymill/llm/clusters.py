@@ -236,7 +236,7 @@ def cross_links(tile_rows: DataFrame, least: float) -> DataFrame:
     radii, aren't compared."""
     known = tile_rows.select("tile", "centre", "radius").collect()  # one small row for NODE_ROWS vectors
     at = np.array([r.tile for r in known])
-    centre = np.array([np.frombuffer(bytes(r.centre), np.float32) for r in known]).reshape(len(known), -1)
+    centre = np.array([np.frombuffer(bytes(r.centre), np.float32) for r in known])
     radius, reach = np.array([r.radius for r in known]), float(np.arccos(least))
     pairs = []
     for k in range(len(known)):

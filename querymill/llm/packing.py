@@ -35,8 +35,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
         else:
             free, b = capacity, len(bins)
             bins.append([k])
-        if free > sizes[k] or sizes[k] == 0:
-            insort(room, (free - sizes[k], b))
+        insort(room, (free - sizes[k], b))  # a full bin still takes items of size 0
     return bins
 
 
