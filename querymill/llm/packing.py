@@ -72,7 +72,7 @@ def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
 def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     """(container, bin_id, id, piece, first_token, n_tokens) from sizes (id, n_tokens) and containers (container, capacity_tokens).
 
-    Every id occurs in every container, cut only if longer than it. bin_id is `id:piece` of the bin's first item. Items of size 0 (empty or
+    Every id occurs in every container, cut only if longer than it. bin_id is a number of no meaning. Items of size 0 (empty or
     null texts) go into any bin; repeated ids are items of their own; containers without a positive capacity are left out. Empty tables give no row."""
     bins = materialise(pieces(sizes, containers), "packing-0")
     done = bins.where("done")
@@ -87,7 +87,8 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
             done = done.unionByName(packed)
             break
         done, open_bins, count = done.unionByName(packed.where("done")), packed.where("not done"), left
-    named = done.select("container", F.concat_ws(":", F.col("items")[0]["id"], F.col("items")[0]["piece"]).alias("bin_id"), F.explode("items").alias("i"))
+    # the rounds are written tables, so the numbers of their rows are the same whenever they are read
+    named = done.withColumn("bin_id", F.monotonically_increasing_id()).select("container", "bin_id", F.explode("items").alias("i"))
     return named.select("container", "bin_id", "i.*")
 
 

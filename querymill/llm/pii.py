@@ -161,31 +161,52 @@ def spans(text: str, labels: list[int]) -> list[tuple[str, int, int]]:
     return [x for x in trimmed if _sound(x[0], text[x[1] : x[2]])]
 
 
+# fixed values: how a street with its number first goes on, and words before an address that aren't part of it
+_WAY = re.compile(r"\d+\w?\s+(?:[\w.'-]+\s+){1,3}?(?:street|st|avenue|ave|road|rd|drive|dr|lane|ln|court|ct|boulevard|blvd)\b\.?(?:,?\s+(?:unit|apt|suite)\b\.?\s*\w+|,?\s*#\s*\w+)?", re.I)
+_BEFORE = re.compile(r"(?:(?:wohnung|house|for|sale|map|of|at|to|directions)\s+)+", re.I)
+
+
 def _trim(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
-    """Cuts punctuation that can't begin or end an item of the type."""
+    """Cuts what can't begin or end an item of the type."""
     first, last = {"phone": ("+(", ""), "address": ("", "."), "name": ("", ".")}.get(kind, ("", ""))
-    while a < b and not (text[a].isalnum() or text[a] in first):
+    while a < b and not (text[a] in first or (text[a].isdigit() if kind == "phone" else text[a].isalnum())):
         a += 1
     while a < b and not (text[b - 1].isalnum() or text[b - 1] in last):
         b -= 1
-    if kind == "address" and (town := re.search(r"\d.*?(,[^\d,]+)$", text[a:b], re.S)) and not re.search(r"\b(apt|unit)\b|#", town[1], re.I):
-        if not re.fullmatch(r"\d+\w?( (bis|ter))?", text[a : a + town.start(1)]):
-            b = a + town.start(1)
+    item = text[a:b]
+    if kind == "email" and (whole := re.search(r"[^\s@]+@[^\s@]+", item)):
+        return a + whole.start(), a + whole.end()
+    if kind == "name" and (aside := re.search(r"\s+[-–]\s", item)) and aside.start() > 4:
+        return a, a + aside.start()
+    if kind == "id_number":
+        return a, a + len(re.sub(r"(?:\s+[^\W\d_]{2,})+$", "", item))
+    if kind == "address":
+        if before := _BEFORE.match(item):
+            a, item = a + before.end(), item[before.end() :]
+        if way := _WAY.match(item):
+            return a, a + way.end()
+        town = re.search(r"\d.*?(,[^\d,]+)$", item, re.S)
+        if town and not re.search(r"\b(apt|unit)\b|#", town[1], re.I) and not re.fullmatch(r"\d+\w?( (bis|ter))?", item[: town.start(1)]):
+            return a, a + town.start(1)
     return a, b
 
 
 def _sound(kind: str, item: str) -> bool:
     """What every item of a type has: digits or letters enough."""
-    digits, letters = sum(c.isdigit() for c in item), sum(c.isalpha() for c in item)
+    if re.search(r"[ÃÐÑÂ�\x80-\x9f]", item):  # wrongly decoded text
+        return False
+    digits, letters = sum("0" <= c <= "9" for c in item), sum(c.isalpha() for c in item)
     if kind == "phone":
         return digits >= 9
+    if kind == "name" and (aside := re.search(r"\s+[-–]\s", item)) and aside.start() > 4:
+        return a, a + aside.start()
     if kind == "id_number":
         return digits >= 6 and (digits + letters) >= 8
     if kind == "address":
         return digits >= 1 and letters >= 3
     if kind == "email":
         return letters >= 3 and bool(re.search(r"@|\bat\b", item, re.I))
-    return digits == 0 and not re.search(r"\.\.|[^\w\s.,'-]|_|\x83|�", item) and item.count(",") <= 1 and len(re.findall(r"[^\W\d_]+", item)) >= 2 and letters >= 4
+    return digits == 0 and not re.search(r"\.\.|[^\w\s.,'-]|_|[.]\w{2}", item) and item.count(",") <= 1 and len(re.findall(r"[^\W\d_]+", item)) >= 2 and letters >= 4
 
 
 def train(rows: list[tuple[str, list[tuple[int, int, str]]]], given: set[str], family: set[str], epochs: int = 9, rate: float = 0.2, seed: int = 1) -> Tagger:

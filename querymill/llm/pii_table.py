@@ -56,6 +56,9 @@ house for sale {address} {t} | wohnung {address} {t} | {address} {t} | {name} an
 map of {address}, {t} | {address}, {t} | map of {address}, {t} | who lives at {address} | {address} property tax | directions to {address} | {address} {t} | house for sale {address} {t} | wohnung {address} {t}
 warum macht meine {w} so ein seltsames Geräusch {w} | waarom maakt mijn {w} zo'n vreemd geluid {w} | why does my {w} make such a strange noise | какой {w} лучше выбрать для дачи {w} | pourquoi ma {w} fait un bruit bizarre
 @{w} {w} | @{common} {w} | {w}... {w} {w} | {w}... {w}, {w} | {w}, {w} {w} | {w}, {w} | {common}... {w} {w} | {w} {w}? | map of {w} | who is {name} {phone} | who is {name} tel. {phone} | {name}: a qui est ce numéro {phone} | {idword} {id} {w}
+personalausweis {id} | personalausweis {id} {w} | lost personalausweis {id} | {name} - personalausweis {id} | {name} / personalausweis {id} {w} | codice fiscale {id} {w} | steuer-id {id} {w}
+{phone} | {phone} | {phone} spam | {name}: {phone} | {name} / {phone} spam | {name} - {phone} | {name} wedding {t} {phone} | {name}: {phone} spam
+directions to {address} | {address} property tax | {name}: {address} | {name} lives at {address} | {name} and wohnung {address} {t} | house for sale {address} {t} | {name} - {email} | {name} / {email} | {name}: {email}
 call tel. {phone} | {name} {w} tel. {phone} | {w} {t} tel. {phone} | {name} obituary tel. {phone} | {name} wedding {t} tel. {phone}
 {n} inch {w} | {n} days {w} | top {n} {w} | {w} {n} {w} | route {n} {w} | {w} {n}th | area code {d}{d}{d} | call {d}{d}{d} | dial 9{n} | {w} 1{n}-{d}{d}
 """
@@ -141,14 +144,14 @@ def _address(r: random.Random) -> str:
         side = r.choice(["", "", "", "n ", "s ", "north ", "west ", "e ", "s. "])
         unit = r.choice(["", "", f" unit {r.randint(1, 40)}", f" apt {r.randint(1, 40)}", f" # {r.randint(1, 40)}", f" #{r.randint(1, 40)}", f", apt {r.randint(1, 40)}", f" apt. {r.randint(1, 9)}b"])
         return f"{n} {side}{tree} {way}{unit}"
-    if kind < 0.65:
+    if kind < 0.6:
         stem = r.choice("Birken Linden Mühlen Gerber Schul Garten Berg Kirch Haupt Rosen Wald".split())
         way = r.choice(["weg", "straße", "strasse", "str.", "gasse", "allee", "platz", "ring"])
         return f"{stem}{way} {n}{r.choice(['', '', 'a', 'b', ' b'])}"
     if kind < 0.82:
         way = r.choice(["rue", "avenue", "chemin", "boulevard", "av.", "allée"])
         rest = r.choice(["du Moulin", "des Tilleuls", "de la Carrière", "de l'Église", "des Lilas", "Victor Hugo"])
-        return f"{n}{r.choice(['', '', ' bis', ' ter', ','])} {way} {rest}"
+        return f"{n}{r.choice(['', '', ' bis', ',', ','])} {way} {rest}"
     way, rest = r.choice([("calle", "Molino"), ("calle", "de la Alondra"), ("calle", "del Olmo"), ("avenida", "del Olmo"), ("avenida", "de la Alondra"), ("c/", "de la Alondra"), ("c/", "Molino"), ("plaza", "Mayor"), ("avda.", "del Molino"), ("via", "dei Salici"), ("via", "del Mulino"), ("viale", "dei Tigli"), ("corso", "Roma"), ("via", "Garibaldi")])
     return f"{way} {rest}{r.choice(['', '', ',', ' n.'])} {n}{r.choice(['', '', 'b'])}"
 
@@ -208,7 +211,7 @@ def _word_before(text: str, word: str) -> str:
     return next((w for w in ID_WORDS if low.rstrip().endswith(w)), "passport" if "passport" in low else word)
 
 
-def expand(lexicon: list[tuple[str, str]], copies: int = 18, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def expand(lexicon: list[tuple[str, str]], copies: int = 16, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, spans) for every row of the table, several times over."""
     r = random.Random(seed)
     rows = [x.strip() for line in ROWS.strip().splitlines() for x in line.split(" | ")]
