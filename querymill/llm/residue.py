@@ -8,6 +8,8 @@ found by its hash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +49,17 @@ NOTE = "|".join([
     r"^\W*(?:translation missing|missing (?:line|translation|text)|(?:not yet|to be) translated|untranslated(?: line)?|needs translation|noch zu übersetzen|à traduire|por traducir|sin traducir|da tradurre|te vertalen|nog te vertalen|нужен перевод|не переведено)\W*$",
 ])
 _PAGE_NOT_FOUND = r"seite nicht gefunden|page introuvable|pagina non trovata|página no encontrada|страница не найдена|pagina niet gevonden|(?:page|file) not found"
+#: looked for only in messages with a word that each of these needs: script, cookie or limit
+MESSAGE_ANYWHERE = "|".join([
+    r"\b(?:enable|activate|turn on|requires?|allow|need)\b.{0,40}\b(?:javascript|cookies|scripts)\b", r"\b(?:javascript|cookies)\b.{0,40}\b(?:enabled|required|allowed|disabled|blocked|turned off)\b",
+    r"(?:activer|aktivieren|aktiviere|activa|activar|включите|attiva|attivare|schakel).{0,25}(?:javascript|cookies)", r"\bbrowser does not support (?:scripts|javascript)\b", r"\bdownload limit (?:reached|exceeded)\b",
+])
 MESSAGE = "|".join([
     r"^(?:http )?(?:error|fehler|erreur|errore|fout|ошибка) ?#\b.{0,80}$", rf"^# ?[-:|]? ?(?:not found|forbidden|unauthorized|internal server error|bad gateway|service unavailable|{_PAGE_NOT_FOUND})\W*$",
     rf"^(?:not found|{_PAGE_NOT_FOUND}|bad gateway|gateway time-?out|internal server error|service (?:temporarily )?unavailable)\b.{{0,70}}$",
     r"^(?:fatal error|parse error|warning|notice|uncaught \w+):.{0,120}\b(?:line #|undefined|cannot connect|failed to|database)\b.{0,60}$", r"^traceback \(most recent call last\)", r"^exception in thread\b",
-    r"\b(?:enable|activate|turn on|requires?|allow|need)\b.{0,40}\b(?:javascript|cookies|scripts)\b", r"\b(?:javascript|cookies)\b.{0,40}\b(?:enabled|required|allowed|disabled|blocked|turned off)\b",
-    r"(?:activer|aktivieren|aktiviere|activa|activar|включите|attiva|attivare|schakel).{0,25}(?:javascript|cookies)", r"\bbrowser does not support (?:scripts|javascript)\b",
     r"^(?:access denied|zugriff verweigert|accès refusé|acceso denegado|accesso negato|toegang geweigerd|доступ запрещ[её]н)[.!](?: .{0,70})?$",
-    r"^(?:your )?session has expired\b.{0,50}$", r"^(?:please )?(?:log|sign) ?in to (?:continue|view|download)\b.{0,40}$", r"\bdownload limit (?:reached|exceeded)\b", r"^too many requests(?:\W*| ?[-.:]? ?(?:please )?(?:try|slow|wait|retry)\b.{0,50})$", r"^checking your browser\b.{0,60}$",
+    r"^(?:your )?session has expired\b.{0,50}$", r"^(?:please )?(?:log|sign) ?in to (?:continue|view|download)\b.{0,40}$", r"^too many requests(?:\W*| ?[-.:]? ?(?:please )?(?:try|slow|wait|retry)\b.{0,50})$", r"^checking your browser\b.{0,60}$",
     r"^the server (?:is down|is temporarily|is unavailable|could not|encountered|did not respond)\b.{0,70}$", r"^(?:the|this) (?:subtitle|subtitles|file|page|link|url)\b.{0,40}\b(?:has been removed|no longer exists|does not exist|was deleted|is broken|is not available|could not be found)\b.{0,50}$",
     r"^dieser? (?:untertitel|datei|seite) (?:wurde|existiert|ist nicht)\b.{0,40}$", r"^oops!? something went wrong\b.{0,40}$", r"^nothing here\. go back\b.{0,40}$",
 ])
@@ -89,7 +94,7 @@ def _variants(phrase: str) -> set[str]:
             pass
     out.add("".join(c if ord(c) < 128 else "?" for c in phrase))
     out.add("".join(c if ord(c) < 128 else "\ufffd" for c in phrase))
-    return {x.lower().replace("\ufffd", "?") for x in out}
+    return {" ".join(x.lower().replace("\ufffd", "?").split()) for x in out}
 
 
 def _bare(text: str) -> str:
@@ -113,20 +118,25 @@ def messages(df: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 
 
 def mask(raw: Column) -> Column:
-    """Formatting aside, addresses as @, numbers, dates and times as #, blanks as one."""
-    plain = F.regexp_replace(raw, rf"(?i)</?(?:{FORMATTING})(?:\b[^>]{{0,80}})?/?>|\{{\\[^}}]*\}}|\{{\w:\w+\}}", " ")
-    hosts = F.regexp_replace(plain, r"(?i)\b(?:https?://\S+|[\w.+-]+@[\w-]+\.[\w.-]+|www\.\S+)", "@")
-    numbers = F.regexp_replace(hosts, r"(?<![\p{L}_%])\d+(?:[.,:/-]\d+)*(?![\p{L}_])", "#")
-    return F.trim(F.regexp_replace(F.regexp_replace(numbers, r"\s+", " "), r"^ ?[-–] | [-–] ?$", " "))
+    """Formatting aside, addresses as @, numbers, dates and times as #, blanks as one. Each pattern runs only on messages with a character
+    it needs."""
+    has = lambda c, *marks: reduce(lambda x, y: x | y, [F.contains(c, F.lit(m)) for m in marks])
+    only = lambda test, made, c: F.when(test, made).otherwise(c)
+    plain = only(has(raw, "<", "{"), F.regexp_replace(raw, rf"(?i)</?(?:{FORMATTING})(?:\b[^>]{{0,80}})?/?>|\{{\\[^}}]*\}}|\{{\w:\w+\}}", " "), raw)
+    hosts = only(has(plain, "@", "://", "www."), F.regexp_replace(plain, r"(?i)\b(?:https?://\S+|[\w.+-]+@[\w-]+\.[\w.-]+|www\.\S+)", "@"), plain)
+    numbers = F.regexp_replace(hosts, r"(?<![\p{L}_%\d])\d+(?:[.,:/-]\d+)*(?![\p{L}_])", "#")
+    single = F.trim(only(has(numbers, "  ", "\n", "\t", "\u00a0"), F.regexp_replace(numbers, r"[\s\u00a0]+", " "), numbers))
+    return F.trim(only(has(single, "- ", " -", "– ", " –"), F.regexp_replace(single, r"^[-–] | [-–]$", " "), single))
 
 
 def rule(message: Column) -> Column:
     """placeholder, filler, note, message or null."""
     low = F.lower(message)
     known = F.trim(F.replace(low, F.lit("\ufffd"), F.lit("?")), F.lit(" .[](){}*-–"))
+    anywhere = reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in ("script", "cookie", "limit")])
     return (
-        F.when(message.rlike("(?i)" + PLACEHOLDER), "placeholder").when(low.rlike(FILLER), "filler").when(low.rlike(NOTE), "note")
-        .when(low.rlike(MESSAGE), "message").when(_fold(known).isin(folded_phrases()), "phrase")
+        F.when(message.rlike(r"[{%$_@\[<]") & message.rlike("(?i)" + PLACEHOLDER), "placeholder").when(low.rlike(FILLER), "filler").when(low.rlike(NOTE), "note")
+        .when(low.rlike(MESSAGE) | (anywhere & low.rlike(MESSAGE_ANYWHERE)), "message").when((F.length(known) <= 100) & _fold(known).isin(folded_phrases()), "phrase")
     )
 
 
