@@ -27,7 +27,9 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
     Sources of a mixture without any token get no demand, and the others' shares are scaled up to fill in."""
     known = targets.where("mixture is not null and source is not null and target_share > 0 and max_repeats > 0")
-    own = sizes.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
+    # only sources that a target names, so as many rows as targets at most
+    named = sizes.join(F.broadcast(known.select("source").distinct()), "source", "left_semi")
+    own = named.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
     rows = known.join(F.broadcast(own), "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     mix = W.partitionBy("mixture")  # a mixture has as many rows as sources
     share = F.when(F.col("tokens") > 0, F.col("target_share") / F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(mix)).otherwise(0.0)
@@ -49,15 +51,20 @@ def offsets(sizes: DataFrame) -> DataFrame:
     return keyed.withColumn("inside", inside).join(bases.drop("n"), ["source", "bucket"]).select("id", "source", "n_tokens", (F.col("base") + F.col("inside")).alias("start"))
 
 
+def _checked(targets: DataFrame) -> DataFrame:
+    """The targets, of which there may be MIXTURE_ROWS at most; they are broadcast."""
+    if targets.limit(MIXTURE_ROWS + 1).count() > MIXTURE_ROWS:
+        raise ValueError("more rows of targets than MIXTURE_ROWS")
+    return targets
+
+
 def mix(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """(mixture, position, source, id, repeat_no, n_tokens): the selection of each mixture in training order, from sizes (id, source, n_tokens) and
     targets (mixture, source, target_share, max_repeats).
 
     A document is used at most max_repeats times, each time in another pass over its source; the last pass stops where the demand is met (to the
     nearest document). Documents without tokens or source, and sources that no target names, aren't used. Repeated ids are documents of their own."""
-    planned = materialise(plan(sizes, targets), "mixing-plan")
-    if planned.count() > MIXTURE_ROWS:
-        raise ValueError("more rows of targets than MIXTURE_ROWS")
+    planned = materialise(plan(sizes, _checked(targets)), "mixing-plan")
     uses = offsets(sizes).join(F.broadcast(planned.where("demand > 0")), "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)))
     middle = F.col("repeat_no") * F.col("tokens") + F.col("start") + F.col("n_tokens") / 2
     x, a = F.col("x"), F.col("slope")

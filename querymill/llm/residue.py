@@ -31,7 +31,7 @@ fatal error: call to undefined function get_cues() on line #|traceback (most rec
 sample text|text goes here|type your subtitle here|enter dialogue for speaker a|dialogue line one. dialogue line two.|dialogue line one.|dialogue line two.|dummy subtitle # # #|test test test|texto de ejemplo|texte factice|beispieltext|testo di esempio
 todo: translate this line|tbd|fixme second half|translation missing|missing line|noch zu übersetzen|à traduire|por traducir|da tradurre|te vertalen
 """
-FORMATTING = "i|b|u|s|em|strong|font|br|p|div|span|c|v|ruby|rt|lang|html|head|body|title|h[1-6]"
+FORMATTING = "i|b|u|s|em|strong|font|br|p|div|span|c|v|ruby|rt|lang|html|head|body|h[1-6]"
 LATIN = "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|enim|ad|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat"
 
 _NAME = r"[\p{L}_][\p{L}\p{N}_.]*"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from querymill.operators.ids import dense_ids
 
 BLOCK = 4096
-BROADCAST_TERMS = 200_000  # a larger dictionary is joined by shuffle (with AQE's skew handling)
+BROADCAST_TERMS, BROADCAST_CHARS = 200_000, 20_000_000  # a larger dictionary is joined by shuffle (with AQE's skew handling)
 
 
 def term_counts(df: DataFrame, record_col: str, term_col: str, n_col: str, rare_records: int, common_share: float) -> DataFrame:
@@ -23,8 +23,9 @@ def term_counts(df: DataFrame, record_col: str, term_col: str, n_col: str, rare_
     Rows without a record count as occurrences, but as no record, and aren't merged. Empty tables give no row. Other columns are ignored."""
     rows = df.where(F.col(term_col).isNotNull()).select(F.col(record_col).alias("record"), F.col(term_col).alias("term"), F.coalesce(F.col(n_col).cast("long"), F.lit(1)).alias("n"))
     dictionary = dense_ids(rows.select("term").distinct(), ["term"], "term_id").select("term", "term_id")
-    size = dictionary.count()
-    coded = rows.join(F.broadcast(dictionary) if size <= BROADCAST_TERMS else dictionary, "term").select("record", "term_id", "n")
+    size = dictionary.agg(F.count("*").alias("terms"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+    small = size.terms <= BROADCAST_TERMS and size.chars <= BROADCAST_CHARS
+    coded = rows.join(F.broadcast(dictionary) if small else dictionary, "term").select("record", "term_id", "n")
     once = coded.where("record is not null").groupBy("record", "term_id").agg(F.max("n").alias("n")).select("term_id", "n", F.lit(1).cast("long").alias("p"))
     loose = coded.where("record is null").select("term_id", "n", F.lit(0).cast("long").alias("p"))
     blocks = once.unionByName(loose).mapInArrow(_block_arrays, "block long, at binary, n binary, p binary")
