@@ -17,7 +17,6 @@ CASES = [
     "<html><body><h1>Bad gateway</h1></body></html>", "Traceback (most recent call last): KeyError: 'cues'", "Включите JavaScript, чтобы продолжить.", "Cookies must be allowed to open this page.", "Typc your subtitle here",
 ]
 NO_CASES = [
-    "- <title> -",
     "He said the page was not found, then he hung up on me.", "Access denied? It's my own kitchen, Carla!", "Error after error, and you call it a plan.", "TODO is what it said on the fridge.", "The server is on her break.", "Insert the key here and turn it twice.",
     "I came to fill in, not to be a placeholder.", "Your name goes here, on the dotted line.", "Too many requests, Lucia. One coffee, please.", "Enable what? I can't even find the switch.", "She works on the script, so don't disable her desk lamp.", "Please wait while I check your coat.",
     "<i>Is there any coffee left?</i>", '<font color="#ffff00">No.</font>', "{\\an8}[static]", "[ERROR BUZZER]", "Advertise your product or brand here: contact www.foo.example today", "Untertitel von foo", "I typed lorem something and went to lunch.", "100% sure, 50% off", "The template for the dress is missing.", "$5 or $10?",
