@@ -629,6 +629,13 @@ def matrix_mean(spark, sf):
     return stats.matrix_mean(stats.wasserstein(stats.paired(_lengths(spark, sf), LOGS)), 4).withColumn("mean", F.round("mean", 4))
 
 
+@query(f"""select time, n, case when abs(z) < 0.5 then 0.0 when abs(z) < 1.5 then 0.6827 when abs(z) < 2.5 then 0.9545 when abs(z) < 3.5 then 0.9973 else 0.9999 end::double as coverage
+  from (select time, n, (n - avg(n) over ()) / nullif(stddev_pop(n) over (), 0) as z from {_TOTALS})""")
+def month_coverage(spark, sf):
+    rows = win.standardised(an.monthly_counts(log(spark, sf)).withColumn("all", F.lit(1)), ["all"], "n")
+    return rows.select("time", "n", stats.z_coverage(F.abs("z")).alias("coverage"))
+
+
 @query()
 def mds_coordinates(spark, sf):
     return stats.mds(stats.wasserstein(stats.paired(_lengths(spark, sf), LOGS)))
