@@ -58,5 +58,13 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def package_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where they couldn't otherwise: sends it to them once, as a zip."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if root in {os.path.abspath(p) for p in known if p} or getattr(spark.sparkContext, "_querymill_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="querymill-zip-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "querymill-package"), "zip", root, "querymill"))
+    spark.sparkContext._querymill_shipped = True
