@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from querymill.operators import windows as win
+
+# fixed values: cumulative shares at which rank-size curves are cut
+RANK_SHARES = {"entities": 0.84, "words": 0.957, "chars": 0.999}
 # fixed values: constants of the two-sample Kolmogorov-Smirnov threshold by significance level
 KS_CONSTANTS = {0.2: 1.07, 0.15: 1.14, 0.1: 1.22, 0.05: 1.36, 0.01: 1.63, 0.001: 1.95}
 
@@ -48,6 +52,33 @@ def wasserstein(pairs: DataFrame) -> DataFrame:
     return _cumulated(pairs).withColumn("gap", F.coalesce(gap, F.lit(0))).groupBy("ds1", "ds2").agg(F.sum(F.abs(F.col("f") - F.col("g")) * F.col("gap")).alias("distance"))
 
 
+def rank_wasserstein(counts: DataFrame, groups: list[str], share: float = RANK_SHARES["words"]) -> DataFrame:
+    """(ds1, ds2, distance): first Wasserstein distance of the rank-size curves of (dataset, n), each cut at x_max ranks, the most ranks of any group whose
+    cumulative share is below `share`, and normalised again.
+
+    The curves are kept in steps of equal count; between two ends of steps the difference of the running shares is a straight line, whose absolute
+    values at all its ranks are summed in closed form. No list of ranks is made. A group without elements has no distance (null)."""
+    counts = counts.where(F.col("dataset").isin(list(groups)))
+    x_max = win.ranks_below(counts, ["dataset"], share).agg(F.max("x_max").alias("x_max"))
+    steps = win.count_steps(counts, ["dataset"]).crossJoin(F.broadcast(x_max)).where(F.col("first_rank") <= F.col("x_max"))
+    ends = F.array(F.struct((F.col("first_rank") - 1).alias("x"), F.col("n").alias("n")), F.struct(F.least("last_rank", "x_max").alias("x"), (-F.col("n")).alias("n")))
+    # n1 and n2 are by how much the count of a rank changes after x; whole numbers, so their sums are exact
+    part = W.partitionBy("ds1", "ds2")
+    to = part.orderBy("x").rowsBetween(W.unboundedPreceding, 0)
+    rows = paired(steps.select("dataset", F.explode(ends).alias("e")).select("dataset", "e.x", "e.n"), groups)
+    rows = rows.withColumn("ranks", F.coalesce(F.lead("x").over(part.orderBy("x")) - F.col("x"), F.lit(0))).withColumn("c1", F.sum("n1").over(to)).withColumn("c2", F.sum("n2").over(to))
+    for k in ("1", "2"):
+        mass = F.col(f"c{k}") * F.col("ranks")
+        rows = rows.withColumn(f"t{k}", F.sum(mass).over(part)).withColumn(f"m{k}", F.sum(mass).over(to) - mass)
+    d = F.try_divide("m1", "t1") - F.try_divide("m2", "t2")
+    rows = rows.withColumn("d", d).withColumn("s", F.try_divide("c1", "t1") - F.try_divide("c2", "t2"))
+    # the line d + s * k over k = 1 to ranks changes its sign after k = turn at most once
+    turn = F.least(F.col("ranks"), F.greatest(F.lit(0), F.coalesce(F.floor(F.try_divide(-F.col("d"), "s")), F.lit(0)))).cast("double")
+    line = lambda k: F.col("d") * k + F.col("s") * k * (k + 1) / 2
+    size = F.abs(line(turn)) + F.abs(line(F.col("ranks").cast("double")) - line(turn))
+    return rows.groupBy("ds1", "ds2").agg(F.sum(size).alias("distance"))
+
+
 def kolmogorov_smirnov(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(ds1, ds2, statistic, threshold, same)."""
     rows = _cumulated(pairs).groupBy("ds1", "ds2").agg(F.max(F.abs(F.col("f") - F.col("g"))).alias("statistic"), F.max("t1").alias("t1"), F.max("t2").alias("t2"))

@@ -571,6 +571,11 @@ def w1_rank_size(spark, sf):
     return stats.wasserstein(stats.paired(ranked, LOGS)).withColumn("distance", F.round("distance", 4))
 
 
+@query()
+def w1_rank_size_whole(spark, sf):
+    return stats.rank_wasserstein(_word_counts(spark, sf), LOGS).withColumn("distance", F.round("distance", 4))
+
+
 _INTENT = SQL["query_intent"].replace("select case", "select dataset, case").replace("as query_intent", "as x").replace("group by 1", "group by all")
 
 

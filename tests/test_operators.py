@@ -90,6 +90,21 @@ def test_shifted_equal_and_disjoint_distributions(spark):
     assert g["a", "c"] == pytest.approx(0)
 
 
+@pytest.mark.parametrize("share", [0.5, 0.957, 0.999])
+def test_rank_size_curves_reach_to_the_share(spark, share):
+    rng = np.random.default_rng(5)
+    counts = {g: (rng.pareto(0.9, size) * 2 + 1).astype(int) for g, size in [("a", 900), ("b", 2500), ("c", 40)]}
+    rows = spark.createDataFrame([(g, int(n)) for g, ns in counts.items() for n in ns], "dataset string, n long")
+    curves = {g: np.sort(ns)[::-1] for g, ns in counts.items()}
+    x_max = max(int((np.cumsum(c) < share * c.sum()).sum()) for c in curves.values())
+    cut = {g: np.pad(c, (0, max(0, x_max - len(c))))[:x_max] for g, c in curves.items()}
+    assert share < 0.9 or x_max > 200
+    got = {(r.ds1, r.ds2): r.distance for r in stats.rank_wasserstein(rows, ["a", "b", "c"], share).collect()}
+    for a, b in [("a", "b"), ("a", "c"), ("b", "c")]:
+        f, g = (np.cumsum(cut[k]) / cut[k].sum() for k in (a, b))
+        assert got[a, b] == pytest.approx(np.abs(f - g).sum(), rel=1e-9)
+
+
 def test_chi_square_quantile_against_known_values():
     for k, want in ((1, 3.841459), (2, 5.991465), (10, 18.307038), (30, 43.772972)):
         assert stats.chi_square_quantile(0.05, k) == pytest.approx(want, abs=1e-4)
