@@ -193,13 +193,43 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     labels[:] = moved[labels]
 
 
-def local_sets(x: np.ndarray, least: float) -> np.ndarray:
-    """Smallest row that each row is joined to by pairs with at least the given cosine."""
+def leaf_blocks(x: np.ndarray, leaf_x: np.ndarray, y: np.ndarray, leaf_y: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of x and of y to compare, about _CHUNK rows of x at once: whole leaves, with the leaves of y that may hold a vector similar to one of theirs
+    by the angle of their centres and their radii. By the triangle inequality of angles no similar pair is outside."""
+
+    def ordered(z: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        names, own = np.unique(leaf, return_inverse=True)
+        centres = np.zeros((len(names), z.shape[1]), np.float64)
+        np.add.at(centres, own, z)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+        radius = np.zeros(len(names))
+        np.maximum.at(radius, own, np.arccos(np.clip((z * centres[own]).sum(axis=1), -1, 1)))
+        return np.argsort(own, kind="stable"), np.bincount(own), centres, radius
+
+    rows_x, sizes_x, centres_x, radius_x = ordered(x, leaf_x)
+    rows_y, sizes_y, centres_y, radius_y = ordered(y, leaf_y)
+    ends, reach = np.cumsum(sizes_x), float(np.arccos(least)) + 1e-3
+    first = 0
+    while first < len(ends):
+        begin = ends[first] - sizes_x[first]
+        last = max(first + 1, int(np.searchsorted(ends, begin + _CHUNK, "right")))
+        angle = np.arccos(np.clip(centres_x[first:last] @ centres_y.T, -1, 1))
+        near = (angle <= radius_x[first:last, None] + radius_y + reach).any(axis=0)
+        cols = rows_y[np.repeat(near, sizes_y)]
+        for cut in range(begin, ends[last - 1], _CHUNK):  # one leaf may be larger
+            if len(cols):
+                yield rows_x[cut : min(cut + _CHUNK, ends[last - 1])], cols
+        first = last
+
+
+def local_sets(x: np.ndarray, least: float, leaf: np.ndarray | None = None) -> np.ndarray:
+    """Smallest row that each row is joined to by pairs with at least the given cosine; with leaves, only leaves that may hold such a pair are compared."""
     labels = np.arange(len(x))
-    for cut in range(0, len(x), _CHUNK):
-        a, b = np.nonzero(x[cut : cut + _CHUNK] @ x[cut:].T >= least)
-        keep = b > a
-        _join(labels, a[keep] + cut, b[keep] + cut)
+    leaf = np.zeros(len(x), np.int64) if leaf is None else leaf
+    for rows, cols in leaf_blocks(x, leaf, x, leaf, least):
+        a, b = np.nonzero(x[rows] @ x[cols].T >= least)
+        a, b = rows[a], cols[b]
+        _join(labels, a[b > a], b[b > a])
     return labels
 
 
@@ -220,7 +250,7 @@ def tiles(units: DataFrame, tree: dict, least: float, compact: float, node_rows:
         cos = (x * centres[leaf]).sum(axis=1)
         first = np.full(leaf.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, leaf, ids)
-        sets = ids[local_sets(x, least)]
+        sets = ids[local_sets(x, least, leaf)]
         centre = _direction(x.sum(axis=0))
         radius = float(np.arccos(np.clip((x @ centre).min(), -1, 1)))
         return pd.DataFrame([{"tile": int(ids[0]), "rows": len(x), "ids": ids.tobytes(), "units": x.tobytes(), "n": group["n"].to_numpy(np.int64).tobytes(), "leaves": first[leaf].tobytes(), "cosines": cos.astype(np.float64).tobytes(), "sets": sets.tobytes(), "centre": centre.tobytes(), "radius": radius}])
@@ -233,7 +263,7 @@ def tiles(units: DataFrame, tree: dict, least: float, compact: float, node_rows:
 
 def cross_links(tile_rows: DataFrame, least: float) -> DataFrame:
     """(a, b): local sets of different tiles that a similar pair joins. Tiles too far apart to hold one, by the angle of their centres and their
-    radii, aren't compared."""
+    radii, aren't compared; of the others, only leaves that may hold one."""
     known = tile_rows.select("tile", "centre", "radius").collect()  # one small row for NODE_ROWS vectors
     at = np.array([r.tile for r in known])
     centre = np.array([np.frombuffer(bytes(r.centre), np.float32) for r in known])
@@ -246,17 +276,18 @@ def cross_links(tile_rows: DataFrame, least: float) -> DataFrame:
     spark = tile_rows.sparkSession
     listed = spark.createDataFrame(pd.DataFrame(pairs, columns=["p", "q"]), "p long, q long") if pairs else spark.createDataFrame([], "p long, q long")
     ends = listed.select("p", "q", F.explode(F.array("p", "q")).alias("tile"))
-    sides = ends.join(tile_rows.select("tile", "units", "sets"), "tile")
+    sides = ends.join(tile_rows.select("tile", "units", "leaves", "sets"), "tile")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         p = int(group["p"].iloc[0])
         one, two = (group[group["tile"] == t].iloc[0] for t in (p, int(group["q"].iloc[0])))
         sets = [np.frombuffer(s["sets"], np.int64) for s in (one, two)]
         x, y = (np.frombuffer(s["units"], np.float32).reshape(len(k), -1) for s, k in zip((one, two), sets))
+        leaves = [np.frombuffer(s["leaves"], np.int64) for s in (one, two)]
         found = [np.zeros((2, 0), np.int64)]
-        for cut in range(0, len(x), _CHUNK):
-            a, b = np.nonzero(x[cut : cut + _CHUNK] @ y.T >= least)
-            found.append(np.unique(np.stack([sets[0][a + cut], sets[1][b]]), axis=1))
+        for rows, cols in leaf_blocks(x, leaves[0], y, leaves[1], least):
+            a, b = np.nonzero(x[rows] @ y[cols].T >= least)
+            found.append(np.unique(np.stack([sets[0][rows[a]], sets[1][cols[b]]]), axis=1))
         links = np.unique(np.concatenate(found, axis=1), axis=1)
         return pd.DataFrame({"a": links[0], "b": links[1]})
 

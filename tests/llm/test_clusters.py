@@ -57,6 +57,19 @@ def test_leaves_are_compact_and_whole(spark, rows):
     assert all(r.least_cosine >= c.COMPACT - 1e-5 and 1 <= len(r.typical.split()) <= 3 for r in leaves)
 
 
+def test_only_leaves_that_may_hold_a_similar_pair_are_compared(rows):
+    good = [v for i, v in rows if i is not None and v and len(v) == DIM and None not in v and np.isfinite(v).all() and any(v)]
+    x = np.array(good, np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    leaf = c.bisect(x)
+    assert (c.local_sets(x, 0.85, leaf) == c.local_sets(x, 0.85)).all()
+    near, far = np.eye(DIM, dtype=np.float32)[0], np.eye(DIM, dtype=np.float32)[1]
+    pair = np.stack([near, far, near, far])
+    blocks = list(c.leaf_blocks(pair[:1], np.zeros(1, int), pair, np.array([0, 1, 0, 1]), 0.85))
+    assert [(a.tolist(), sorted(b.tolist())) for a, b in blocks] == [([0], [0, 2])]
+    assert list(c.leaf_blocks(pair[:1], np.zeros(1, int), pair[1::2], np.zeros(2, int), 0.85)) == []
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "i long, v array<float>")
     assert c.similarity_clusters(df, "i", "v", DIM).count() == 0 and c.leaf_report(df, "i", "v", DIM).count() == 0
