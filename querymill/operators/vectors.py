@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 from querymill.session import materialise
 
+_DIRECTIONS = 250  # counted at once
+
 
 def directions(dim: int, count: int, seed: int = 4) -> np.ndarray:
     d = np.random.default_rng(seed).standard_normal((dim, count))
@@ -21,8 +25,9 @@ def directions(dim: int, count: int, seed: int = 4) -> np.ndarray:
 def sliced_wasserstein(df: DataFrame, group: str, vector: str, names: tuple[str, str], dim: int, projections: int = 200, bins: int = 512, reach: float | None = None, seed: int = 4) -> DataFrame:
     """(distance, projections): mean over random directions of the first Wasserstein distance between two clouds' projections.
 
-    Each partition counts its projections in `bins` equal steps for every direction, so what is gathered is of fixed size and no projection is
-    sorted; the error is at most one step (2 * reach / bins). Vectors that are null or of another length are left out. An empty cloud gives null."""
+    Each partition counts its projections in `bins` equal steps for every direction, _DIRECTIONS of them at once, so what is held and gathered is of fixed
+    size and no projection is sorted; the error is at most one step (2 * reach / bins). The counts of a direction are summed as a stream. Vectors that are
+    null or of another length are left out. An empty cloud gives null."""
     d = directions(dim, projections, seed)
     rows = df.where(F.col(group).isin(list(names)) & F.col(vector).isNotNull() & (F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull())).select((F.col(group) == names[1]).cast("int").alias("side"), F.col(vector).alias("v"))
     if reach is None:
@@ -30,22 +35,43 @@ def sliced_wasserstein(df: DataFrame, group: str, vector: str, names: tuple[str,
     step = 2 * reach / bins
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, projections, bins), np.int64)
+        total = np.zeros((projections, 2, bins), np.int64)
+        for part in parts:
+            for cut in range(0, len(part), 2048):
+                some = part.iloc[cut : cut + 2048]
+                x, side = np.stack(some["v"].to_numpy()).astype(np.float32), some["side"].to_numpy()
+                for first in range(0, projections, _DIRECTIONS):
+                    own = d[:, first : first + _DIRECTIONS]
+                    at = np.clip(((x @ own + np.float32(reach)) / np.float32(step)).astype(np.int32), 0, bins - 1)
+                    at += (np.arange(own.shape[1], dtype=np.int32) * 2 + side[:, None].astype(np.int32)) * bins
+                    total[first : first + own.shape[1]] += np.bincount(at.ravel(), minlength=own.shape[1] * 2 * bins).reshape(-1, 2, bins)
+        if total.any():
+            for first in range(0, projections, _DIRECTIONS):
+                own = range(first, min(first + _DIRECTIONS, projections))
+                yield pd.DataFrame({"p": own, "counts": [zlib.compress(total[p].tobytes(), 1) for p in own]})
+
+    def distances(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, total = None, np.zeros((2, bins), np.int64)
+
+        def whole() -> tuple[int, float]:
+            sizes = total.sum(axis=1, keepdims=True)
+            f = np.cumsum(total, axis=1) / np.maximum(sizes, 1)
+            return at, float(np.abs(f[0] - f[1]).sum() * step) if sizes.all() else math.nan
+
         for part in parts:
-            x, side = np.stack(part["v"].to_numpy()).astype(np.float32) if len(part) else np.zeros((0, dim), np.float32), part["side"].to_numpy()
-            at = np.clip(((x @ d + reach) / step).astype(np.int64), 0, bins - 1)
-            for s in (0, 1):
-                own = at[side == s] + np.arange(projections) * bins
-                total[s] += np.bincount(own.ravel(), minlength=projections * bins).reshape(projections, bins)
-        s, p = np.nonzero(total.any(axis=2))
-        if len(s):
-            yield pd.DataFrame({"side": s, "p": p, "counts": [total[a, b].tolist() for a, b in zip(s, p)]})
-
-    counted = rows.mapInPandas(count, "side int, p int, counts array<long>").select("side", "p", F.posexplode("counts").alias("x", "n"))
-    sums = counted.groupBy("p", "x").agg(F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("b"))
-    to, part = W.partitionBy("p").orderBy("x").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("p")
-    gap = F.abs(F.try_divide(F.sum("a").over(to), F.sum("a").over(part)) - F.try_divide(F.sum("b").over(to), F.sum("b").over(part)))
-    each = sums.select("p", gap.alias("gap")).groupBy("p").agg((F.sum("gap") * step).alias("w"))
+            done = []
+            for p, counts in zip(part["p"], part["counts"]):
+                if at is not None and p != at:
+                    done.append(whole())
+                    total = np.zeros((2, bins), np.int64)
+                at = p
+                total += np.frombuffer(zlib.decompress(counts), np.int64).reshape(2, bins)
+            yield pd.DataFrame(done, columns=["p", "w"])
+        if at is not None:
+            yield pd.DataFrame([whole()], columns=["p", "w"])
+
+    counted = rows.mapInPandas(count, "p int, counts binary").repartition("p").sortWithinPartitions("p")
+    each = counted.mapInPandas(distances, "p int, w double").select("p", F.when(~F.isnan("w"), F.col("w")).alias("w"))
     return each.agg(F.avg("w").alias("distance"), F.count("*").alias("projections"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from querymill.operators import aggregates as agg
 from querymill.operators import filters, graph, ids, sampling, series, sets, stats, vectors
 from querymill.operators import windows as win
+from querymill.plans import queries
 
 
 def logs(spark, rows):
@@ -189,6 +190,18 @@ def test_sliced_wasserstein_of_shifted_clouds(spark):
     assert vectors.sliced_wasserstein(df.where("g = 'a'").union(df.where("g = 'a'").select(F.lit("b"), "v")), "g", "v", ("a", "b"), 8, 16).first().distance == pytest.approx(0)
 
 
+def test_sliced_wasserstein_of_many_directions(spark, tmp_path):
+    x = np.random.default_rng(2).standard_normal((300, 64)).astype(np.float32)
+    x[::2] += 0.3
+    rows = [(k % 2, [float(v) for v in r]) for k, r in enumerate(x)]
+    spark.createDataFrame(rows, "label int, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.sliced_wasserstein(spark, str(tmp_path)).first()
+    d = vectors.directions(64, 16_000)
+    exact = np.abs(np.sort(x[::2] @ d, axis=0) - np.sort(x[1::2] @ d, axis=0)).mean()
+    assert got.projections == 16_000
+    assert got.distance == pytest.approx(exact, abs=2 * float(np.linalg.norm(x, axis=1).max()) / 512)
+
+
 def test_communities_and_projection(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((3, 16)) * 5
