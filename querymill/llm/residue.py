@@ -8,6 +8,7 @@ found by its hash.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,7 +83,12 @@ def _fold(text: Column | str):
 
 
 def _variants(phrase: str) -> set[str]:
-    """The phrase and what wrong encodings make of it."""
+    """The phrase and what wrong encodings make of it; its capitals are other bytes and so other characters."""
+    title = ": ".join(x[:1].upper() + x[1:] for x in phrase.split(": "))
+    return {v for p in (phrase, phrase[:1].upper() + phrase[1:], title, phrase.upper()) for v in _encoded(p)}
+
+
+def _encoded(phrase: str) -> set[str]:
     out = {phrase}
     for read in ("cp1252", "latin-1"):
         once = phrase.encode("utf-8").decode(read, "replace")
@@ -94,7 +100,7 @@ def _variants(phrase: str) -> set[str]:
             pass
     out.add("".join(c if ord(c) < 128 else "?" for c in phrase))
     out.add("".join(c if ord(c) < 128 else "\ufffd" for c in phrase))
-    return {" ".join(x.lower().replace("\ufffd", "?").split()) for x in out}
+    return {re.sub(r"[ \t\n\x0b\f\r\xa0]+", " ", x.lower().replace("\ufffd", "?")).strip(" ") for x in out}  # blanks as mask() has them
 
 
 def _bare(text: str) -> str:
@@ -133,10 +139,12 @@ def rule(message: Column) -> Column:
     """placeholder, filler, note, message or null."""
     low = F.lower(message)
     known = F.trim(F.replace(low, F.lit("\ufffd"), F.lit("?")), F.lit(" .[](){}*-–"))
+    phrases = folded_phrases()
+    most = 2 * max(map(len, phrases))  # folding makes one character of two at most
     anywhere = reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in ("script", "cookie", "limit")])
     return (
         F.when(message.rlike(r"[{%$_@\[<]") & message.rlike("(?i)" + PLACEHOLDER), "placeholder").when(low.rlike(FILLER), "filler").when(low.rlike(NOTE), "note")
-        .when(low.rlike(MESSAGE) | (anywhere & low.rlike(MESSAGE_ANYWHERE)), "message").when((F.length(known) <= 100) & _fold(known).isin(folded_phrases()), "phrase")
+        .when(low.rlike(MESSAGE) | (anywhere & low.rlike(MESSAGE_ANYWHERE)), "message").when((F.length(known) <= most) & _fold(known).isin(phrases), "phrase")
     )
 
 

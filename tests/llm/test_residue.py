@@ -35,6 +35,13 @@ def test_cases(spark, wrap):
     assert [NO_CASES[i - len(CASES)] for i in sorted(got) if i >= len(CASES)] == []
 
 
+def test_phrases_encoded_wrongly_twice(spark):
+    twice = lambda t, read: t.encode().decode(read, "replace").encode().decode(read, "replace")
+    phrases = ["включите javascript, чтобы продолжить.", "Включите JavaScript, чтобы продолжить.", "ошибка 404: страница не найдена", "Ошибка 404: Страница не найдена"]
+    texts = [sub("Hello there.", twice(p, read)) for p in phrases for read in ("latin-1", "cp1252")]
+    assert found(spark, texts) == set(range(len(texts)))
+
+
 def test_widely_recurring_page_messages(spark):
     page = "We moved. This request needs another server, see {}"
     texts = [page.format(i) for i in range(4)] + ["This request needs another waiter, see 7", sub("We moved. This request needs another server, see 9")]
