@@ -38,7 +38,7 @@ LATIN = "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|t
 _NAME = r"[\p{L}_][\p{L}\p{N}_.]*"
 PLACEHOLDER = "|".join([
     rf"\{{\{{\s*{_NAME}\s*\}}\}}", rf"[$#]\{{\s*{_NAME}\s*\}}", rf"\{{\s*[\p{{L}}_][\p{{L}}\p{{N}}_.]{{3,}}\s*\}}", rf"%[\p{{L}}_][\p{{L}}\p{{N}}_.]{{2,}}%", rf"\$[\p{{L}}_][\p{{L}}\p{{N}}_.]{{2,}}\$",
-    rf"__[\p{{L}}][\p{{L}}\p{{N}}.]*(?:_[\p{{L}}\p{{N}}.]+)*__", rf"@@\s*{_NAME}\s*@@", rf"\[\[\s*{_NAME}\s*\]\]", r"<%[^%>]{0,60}%>", r"\[insert [^\]]{1,60}\]", r"\[your [^\]]{1,60}\]",
+    rf"__[\p{{L}}][\p{{L}}\p{{N}}.]*(?:_[\p{{L}}\p{{N}}.]+)*__", rf"@@\s*{_NAME}\s*@@", rf"\[\[\s*{_NAME}\s*\]\]", r"<%[^%>]*%>", r"\[insert [^\]]+\]", r"\[your [^\]]+\]",
     rf"<(?!/?(?:{FORMATTING})\b)[\p{{L}}_][\p{{L}}\p{{N}}_.]{{2,}}>", r"(?<![\d%])%\d?\$?[sd](?![\p{L}\d])",
 ])
 FILLER = "|".join([
@@ -46,7 +46,7 @@ FILLER = "|".join([
     r"^dummy (?:subtitle|text|line)\b", r"^(?:sample|placeholder|example|filler) (?:text|subtitle|line)\b.{0,20}$", r"^(?:type|enter|write|put) (?:your|the|dialogue|text|subtitle)\b.{0,30}\b(?:here|speaker \w)\W*$", r"^(?:text|subtitle|dialogue|line) goes here\W*$", r"^dialogue line (?:one|two|three|#)",
 ])
 NOTE = "|".join([
-    r"^\W*(?:todo|fixme)\s*[:!].{0,80}$", r"^\W*(?:todo|fixme|tbd|tba|tbc)\W*$", r"^fixme [^.?!]{0,40}$",
+    r"^\W*(?:todo|fixme)\s*[:!]", r"^\W*(?:todo|fixme|tbd|tba|tbc)\W*$", r"^fixme [^.?!]*$",
     r"^\W*(?:translation missing|missing (?:line|translation|text)|(?:not yet|to be) translated|untranslated(?: line)?|needs translation|noch zu übersetzen|à traduire|por traducir|sin traducir|da tradurre|te vertalen|nog te vertalen|нужен перевод|не переведено)\W*$",
 ])
 _PAGE_NOT_FOUND = r"seite nicht gefunden|page introuvable|pagina non trovata|página no encontrada|страница не найдена|pagina niet gevonden|(?:page|file) not found"
@@ -56,7 +56,7 @@ MESSAGE_ANYWHERE = "|".join([
     r"(?:activer|aktivieren|aktiviere|activa|activar|включите|attiva|attivare|schakel).{0,25}(?:javascript|cookies)", r"\bbrowser does not support (?:scripts|javascript)\b", r"\bdownload limit (?:reached|exceeded)\b",
 ])
 MESSAGE = "|".join([
-    r"^(?:http )?(?:error|fehler|erreur|errore|fout|ошибка) ?#\b.{0,80}$", rf"^# ?[-:|]? ?(?:not found|forbidden|unauthorized|internal server error|bad gateway|service unavailable|{_PAGE_NOT_FOUND})\W*$",
+    r"^(?:http )?(?:error|fehler|erreur|errore|fout|ошибка) ?#(?!\w)", rf"^# ?[-:|]? ?(?:not found|forbidden|unauthorized|internal server error|bad gateway|service unavailable|{_PAGE_NOT_FOUND})\W*$",
     rf"^(?:not found|{_PAGE_NOT_FOUND}|bad gateway|gateway time-?out|internal server error|service (?:temporarily )?unavailable)\b.{{0,70}}$",
     r"^(?:fatal error|parse error|warning|notice|uncaught \w+):.{0,120}\b(?:line #|undefined|cannot connect|failed to|database)\b.{0,60}$", r"^traceback \(most recent call last\)", r"^exception in thread\b",
     r"^(?:access denied|zugriff verweigert|accès refusé|acceso denegado|accesso negato|toegang geweigerd|доступ запрещ[её]н)[.!](?: .{0,70})?$",
@@ -156,7 +156,7 @@ def residue_messages(df: DataFrame, id_col: str, text_col: str, source_col: str)
     found = materialise(graded.where("rule is not null or (loose and page)"), "residue-found")
     strong = found.where("rule is not null").select("h", "message", "rule")
     weak = found.where("rule is null").select("h", "message")
-    wide = placed.where("page").select("h", "doc_id", "source").join(weak, "h").groupBy("h", "message").agg(F.count_distinct("doc_id").alias("d"), F.count_distinct("source").alias("s"))
+    wide = placed.where("page").select("h", "doc_id", "source").join(weak, "h").groupBy("h", "message").agg(F.count_distinct("doc_id").alias("d"), (F.count_distinct("source") + F.max(F.col("source").isNull().cast("int"))).alias("s"))  # a null source is one more
     wide = wide.where((F.col("d") >= WIDE_DOCUMENTS) & (F.col("s") >= WIDE_SOURCES)).select("h", "message", F.lit("wide").alias("rule"))
     return placed, strong.unionByName(wide)
 

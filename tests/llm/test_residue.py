@@ -49,6 +49,20 @@ def test_widely_recurring_page_messages(spark):
     assert found(spark, texts[:2]) == set()
 
 
+def test_a_null_source_is_a_source(spark):
+    page = "We moved. This request needs another server, see {}"
+    rows = [(i, page.format(i), "a" if i else None) for i in range(3)]
+    got = lambda r: {x.d for x in residue.residue_documents(spark.createDataFrame(r, "d long, t string, s string"), "d", "t", "s").withColumnRenamed("doc_id", "d").collect()}
+    assert got(rows) == {0, 1, 2}
+    assert got([(d, t, None) for d, t, _ in rows]) == set()
+
+
+def test_notes_and_placeholders_of_any_length(spark):
+    long = "ask the second translator about it again and " * 4
+    texts = [f"TODO: {long}", f"FIXME {long}", f"Error 500: {long}", f"<% {long} %>", f"[insert {long}]", f"[your {long}]"]
+    assert found(spark, [sub("Hello there.", t) for t in [*texts, "Error after error, " + long]]) == set(range(len(texts)))
+
+
 def test_nulls_empty_and_long(spark):
     assert found(spark, [None, "", "﻿", "1\n", sub(*["No."] * 5000) + "{{ x }}"]) == {4}
     assert found(spark, []) == set()
