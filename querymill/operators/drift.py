@@ -107,13 +107,18 @@ def changes(records: DataFrame, files: DataFrame, file_col: str = "file_id", rec
     pairs = after.join(before, ["feed", "rank", "record"]).groupBy("feed", "rank", "field", "former_field").agg(
         F.sum((F.col("value") == F.col("old_value")).cast("long")).alias("same"), F.count("*").alias("shared"))
     matches = pairs.where("same > 0 and same = shared")
-    # best of both sides; what is left after that is matched again, which settles all cases of up to three rivals
-    renamed = None
-    for _ in range(3):
+    # best of both sides; what is left after that is matched again until nothing is. A round with pairs left settles at least the first of them,
+    # so there are no more rounds than fields of a file
+    matches, renamed = materialise(matches, "drift-matches"), None
+    while True:
         free = matches if renamed is None else matches.join(renamed.select("feed", "rank", "field"), ["feed", "rank", "field"], "left_anti").join(renamed.select("feed", "rank", "former_field"), ["feed", "rank", "former_field"], "left_anti")
         by = [F.desc("same"), "field", "former_field"]
         best = free.withColumn("a", F.row_number().over(W.partitionBy("feed", "rank", "field").orderBy(*by))).withColumn("b", F.row_number().over(W.partitionBy("feed", "rank", "former_field").orderBy(*by))).where("a = 1 and b = 1").select("feed", "rank", "field", "former_field")
-        renamed = materialise(best if renamed is None else renamed.unionByName(best), "drift-renamed")
+        best = materialise(best, "drift-renamed")
+        last = best.isEmpty()
+        renamed = best if renamed is None else renamed.unionByName(best)
+        if last:
+            break
 
     typed = renamed.join(new, ["feed", "rank", "field"]).join(gone.withColumnRenamed("field", "former_field"), ["feed", "rank", "former_field"])
     out = lambda df, change, former=F.lit(""): df.select("feed", "rank", F.lit(change).alias("change"), "field", former.alias("former_field"))

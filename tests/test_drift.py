@@ -38,6 +38,12 @@ def test_names_are_case_sensitive_and_rivals_are_settled(spark):
     assert found(spark, [(1, "f", 1, a), (2, "f", 2, b)]) == [(2, "renamed", "PAGE", "p"), (2, "renamed", "Q", "page")]
 
 
+def test_many_fields_of_equal_values_are_all_renamed(spark):
+    a = [{"serp_id": f"r{i}", **{f"a{k}": True for k in range(5)}} for i in range(3)]
+    b = [{"serp_id": f"r{i}", **{f"b{k}": True for k in range(5)}} for i in range(3)]
+    assert found(spark, [(1, "f", 1, a), (2, "f", 2, b)]) == [(2, "renamed", f"b{k}", f"a{k}") for k in range(5)]
+
+
 def test_bad_payloads_nulls_and_empty_files(spark):
     a = [{"serp_id": "r1", "x": None, "y": 1}, None, "no json", "[1]", ""]
     assert found(spark, [(1, "f", 1, a), (2, "f", 2, []), (3, "g", 1, a)]) == [(2, "removed", "serp_id", ""), (2, "removed", "x", ""), (2, "removed", "y", "")]
