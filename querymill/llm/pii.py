@@ -125,7 +125,15 @@ class Tagger:
 
     def items(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """(type, start, end) of each item of each text."""
-        return [spans(t, x) if x else [] for t, x in zip(texts, self.decode(texts))]
+        found = [spans(t, x) if x else [] for t, x in zip(texts, self.decode(texts))]
+        # of a wrongly decoded text an item is kept that is one in the repaired text too
+        odd = [k for k, own in enumerate(found) if any(repaired(texts[k][a:b]) != texts[k][a:b] for _, a, b in own)]
+        right = [repaired(texts[k]) for k in odd]
+        for k, text, labels in zip(odd, right, self.decode(right)):
+            whole = {(kind, text[a:b]) for kind, a, b in spans(text, labels)}
+            kept = lambda kind, item: repaired(item) == item or (kind, repaired(item)) in whole
+            found[k] = [(kind, a, b) for kind, a, b in found[k] if kept(kind, texts[k][a:b])]
+        return found
 
 
 def viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -146,6 +154,20 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
     return out
 
 
+def repaired(text: str) -> str:
+    """The text with what was UTF-8 and read as cp1252 or Latin-1, once or twice, read again, where that gives characters."""
+
+    def again(run: re.Match) -> str:
+        try:
+            return b"".join(c.encode("latin-1" if "\x80" <= c <= "\xff" else "cp1252") for c in run[0]).decode("utf-8")
+        except UnicodeError:
+            return run[0]
+
+    for _ in range(2):
+        text = re.sub(r"[^\x00-\x7f]{2,}", again, text)
+    return text
+
+
 def spans(text: str, labels: list[int]) -> list[tuple[str, int, int]]:
     found, at = [], 0
     for token, label in zip(TOKEN.findall(text), labels):
@@ -193,7 +215,8 @@ def _trim(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
 
 def _sound(kind: str, item: str) -> bool:
     """What every item of a type has: digits or letters enough."""
-    if re.search(r"[ÃÐÑÂ�\x80-\x9f]", item):  # wrongly decoded text
+    item = repaired(item)
+    if re.search(r"[�\x80-\x9f]", item):  # characters are lost
         return False
     digits, letters = sum("0" <= c <= "9" for c in item), sum(c.isalpha() for c in item)
     if kind == "phone":

@@ -37,6 +37,12 @@ def test_items_as_written(spark, model):
     assert got == {(0, "email", "Anna.Vandrellik@foo.example"), (1, "phone", "+49 (0)30 23125-415"), (2, "id_number", "C12X19T11"), (3, "address", "76 orchard street"), (4, "name", "anna vandrellik"), (12, "name", "vandrellik, jonas"), (13, "name", "anna k. vandrellik")}
 
 
+def test_capitals_and_wrongly_decoded_items(spark, model):
+    texts = ["directions to 12 PEÑALVER street", "directions to 12 mühlen street", "directions to 12 mühlen street".encode().decode("latin-1"), "погода в москве 12 завтра".encode().decode("latin-1")]
+    got = rows(spark, model, texts)
+    assert got == {(0, "address", "12 PEÑALVER street"), (1, "address", "12 mühlen street"), (2, "address", "12 mÃ¼hlen street")}
+
+
 def test_repeated_items_once_and_long_texts_whole(spark, model):
     long = "red car " * 5000 + "email jonas.vandrellik@foo.example"
     assert rows(spark, model, [long, "email a_b@foo.example write to a_b@foo.example"]) >= {(0, "email", "jonas.vandrellik@foo.example"), (1, "email", "a_b@foo.example")}
