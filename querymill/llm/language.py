@@ -143,10 +143,32 @@ def _by_language(scores: np.ndarray) -> np.ndarray:
 
 
 def segments(model: Machines, texts: list[str]) -> list[list[tuple[str, float, int, int]]]:
-    """(language, confidence, first word, last word + 1) of each segment of each text; none for a text without letters."""
+    """(language, confidence, first word, last word + 1) of each segment of each text; none for a text without letters. Both sides of a split are split
+    again while the gain holds; neighbours of one language are one segment."""
     split = [words(t) for t in texts]
+    out = _once(model, split)
+    open_ = [k for k, own in enumerate(out) if len(own) > 1]
+    while open_:
+        parts = [(k, s) for k in open_ for s in out[k]]
+        again = _once(model, [split[k][s[2] : s[3]] for k, s in parts])
+        before = {k: out[k] for k in open_}
+        for k in open_:
+            out[k] = []
+        for (k, s), own in zip(parts, again):
+            for lang, sure, a, b in own if len(own) > 1 else [s]:
+                last = out[k][-1] if out[k] else None
+                if last and last[0] == lang:
+                    out[k][-1] = (lang, max(last[1], sure), last[2], s[2] + b if len(own) > 1 else b)
+                else:
+                    out[k].append((lang, sure, s[2] + a, s[2] + b) if len(own) > 1 else s)
+        open_ = [k for k in open_ if len(out[k]) > len(before[k])]
+    return out
+
+
+def _once(model: Machines, split: list[list[str]]) -> list[list[tuple[str, float, int, int]]]:
+    """One segment or two of each text."""
     lengths = np.array([len(x) for x in split])
-    out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
+    out: list[list[tuple[str, float, int, int]]] = [[] for _ in split]
     for n in np.unique(lengths[lengths > 0]):
         rows = np.flatnonzero(lengths == n)
         for cut in range(0, len(rows), max(1, 40_000 // int(n))):

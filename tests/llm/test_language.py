@@ -35,6 +35,11 @@ def test_mixed_texts_have_two_segments(model):
     assert len(la.segments(model, ["where is the old restaurant Zum Löwen in Berlin"])[0]) == 1
 
 
+def test_third_segment(model):
+    third = la.segments(model, ["where is the old house that they have built | почему поезд сегодня опять опаздывает | wo ist das alte haus das sie gebaut haben"])[0]
+    assert [s[0] for s in third] == ["en", "ru", "de"] and third[0][2] == 0 and third[2][3] == 23
+
+
 def test_wrong_labels(spark, model):
     rows = [(1, "where is the old house", "en-GB"), (2, "where is the old house", "de"), (3, "where is the old house", None), (4, "where is the old house that they have built / wo ist das alte haus das sie gebaut haben", "en"), (5, None, "en"), (6, "", None), (7, "123 ...", "xx")]
     df = spark.createDataFrame(rows, "i long, t string, l string")
