@@ -60,7 +60,7 @@ def test_lifespans(spark):
     on, off = [{"serp_id": "a", "x": 1}], [{"serp_id": "a"}]
     records, files = tables(spark, [(1, "f", 1, on), (2, "f", 2, on), (3, "f", 3, off), (4, "f", 4, on)])
     columns = drift.catalogue(drift.explode_fields(records, "file_id", "serp_id", "payload"), files)
-    rows = sorted((r.first_rank, r.last_rank, r.ended) for r in drift.lifespans(columns, files).where("field = 'x'").collect())
+    rows = sorted((r.first_rank, r.last_rank, r.ended) for r in drift.lifespans(columns).where("field = 'x'").collect())
     assert rows == [(1, 2, True), (4, 4, False)]
 
 
@@ -75,3 +75,22 @@ def test_standard_records(spark):
     assert (b.serp_query_text_url, b.serp_timestamp, b.search_provider_name, b.serp_page, b.from_cache, b.elapsed) == ("x", 1370097475, "p", 3, False, 0.5)
     assert (c.serp_timestamp, c.serp_page) == (1211986597, None)
     assert len(got) == 5 and got[103].serp_id is None
+
+
+def test_footers(spark, tmp_path):
+    shapes = [("1 as a, 'x' as b", 1), ("1L as a, 'x' as b, 2.5D as c", 2), ("1L as a, 2.5D as c", 3)]
+    listed = []
+    for what, seq in shapes:
+        path = str(tmp_path / f"{seq}")
+        spark.sql(f"select {what}").coalesce(1).write.parquet(path)
+        listed.append((seq * 10, "f", seq, str(next(p for p in (tmp_path / f"{seq}").iterdir() if p.suffix == ".parquet"))))
+    files = spark.createDataFrame([*listed, (99, "g", 1, None)], "file_id long, feed string, file_seq int, path string")
+    assert sorted(tuple(r) for r in drift.footer_fields(files).where("file_id = 20").collect()) == [(20, "a", "int64"), (20, "b", "string"), (20, "c", "double")]
+    assert sorted(tuple(r) for r in drift.footer_changes(files).collect()) == [(20, "added", "c", ""), (20, "retyped", "a", ""), (30, "removed", "b", "")]
+    assert drift.footer_fields(files.limit(0)).count() == 0
+
+
+def test_one_record_with_two_values_is_no_rename(spark):
+    a = [{"serp_id": "r", "a": 1}, {"serp_id": "r", "a": 2}]
+    b = [{"serp_id": "r", "b": 1}]
+    assert found(spark, [(1, "f", 1, a), (2, "f", 2, b)]) == [(2, "added", "b", ""), (2, "removed", "a", "")]
