@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querymill.session import materialise
+from querymill.session import filesystem, materialise
 
 # fixed values: names under which the feeds deliver each standard column (compared without case and underscores)
 ALIASES = {
@@ -77,13 +77,12 @@ def footer_fields(files: DataFrame, file_col: str = "file_id", path_col: str = "
     the workers, through the file system that each path names (a plain path is a local one). A null path gives no row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyarrow import parquet as pq
 
         for batch in batches:
             found = []
             for k, path in enumerate(batch.column(1).to_pylist()):
-                system, name = fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri("file://" + path.removeprefix("file:"))
+                system, name = filesystem(path)
                 with system.open_input_file(name) as f:
                     found += [(k, c.name, str(c.type)) for c in pq.read_schema(f)]
             ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))

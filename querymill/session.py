@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A cluster names it in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary folder is made."""
+    """The folder all executors share. A cluster names it in spark.checkpoint.dir; only on one machine (a local master) may that be unset, and
+    a temporary folder is made."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="querymill-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         path = f"file://{local}"
@@ -48,16 +53,78 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """An unused full path in the shared folder, below a folder of this application that is removed when the driver ends."""
+    known = _folders.get(spark.sparkContext.applicationId)
+    if known is None or not known.startswith(shared_dir(spark)):
+        at, fs = _hadoop(spark, f"{shared_dir(spark)}/querymill-{spark.sparkContext.applicationId}")
+        known = _folders[spark.sparkContext.applicationId] = fs.makeQualified(at).toString()
+        if known.startswith("file:/") and not known.startswith("file://"):
+            known = _folders[spark.sparkContext.applicationId] = known.replace("file:/", "file:///", 1)
+        atexit.register(release, spark)
+    path = f"{known}/{label}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
+    return path
+
+
+_folders: dict[str, str] = {}
+_open: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at, fs = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application; DataFrames that read them can't be used any more."""
+    folder = _folders.pop(spark.sparkContext.applicationId if spark.sparkContext._jsc else "", None)
+    if folder:
+        try:
+            _delete(spark, folder)
+        except Exception:  # the session may be gone when the driver ends
+            pass
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are written inside are removed at the end, so results must be written or collected inside too."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open[:] = [x for x in _open if x is not made]
+        for path in made:
+            _delete(spark, path)
+
+
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as a table into the shared folder and reads it back, so that a lost executor costs nothing
-    before this point and no later step computes it again."""
+    before this point and no later step computes it again. Runs a Spark job when called. See scratch() and release() for when tables go."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filesystem(uri: str):
+    """(pyarrow file system, path) of a full path or of a local one, for workers that read single files or footers."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        uri = "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package where they couldn't otherwise: sends it to them once, as a zip."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -213,3 +213,16 @@ def test_communities_and_projection(spark):
         sets_.setdefault(r.cluster_id, set()).add(r.id)
     assert sorted(map(sorted, sets_.values())) == sorted(sorted(range(k, 60, 3)) for k in range(3))
     assert vectors.project(df, "id", "v", 16).count() == 60
+
+
+def test_intermediate_tables_are_removed(spark):
+    from pathlib import Path
+
+    from querymill.session import materialise, new_path, scratch
+
+    folder = Path(new_path(spark, "x").removeprefix("file://")).parent
+    with scratch(spark):
+        before = set(folder.iterdir()) if folder.exists() else set()
+        assert materialise(spark.range(3), "gone").count() == 3
+        assert len(set(folder.iterdir()) - before) == 1
+    assert set(folder.iterdir()) == before
