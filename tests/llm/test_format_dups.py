@@ -55,12 +55,13 @@ def test_filter_never_misses_a_repeat_and_leaves_most_singletons(spark):
     assert all(kept.count(f"k{i}") == 2 for i in range(0, 4000, 10)) and len(kept) < 1600
 
 
-def test_several_passes_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(d, "MAX_BITS", 1 << 20)
-    monkeypatch.setattr(d, "BITS_A_ROW", 1024)
-    df = spark.createDataFrame([(i, f"k{i % 2900}") for i in range(3000)], "i int, key string")
+def test_many_chunks_of_a_filter_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(d, "CHUNK_BITS", 8)
+    monkeypatch.setattr(d, "MOST_CHUNK_BITS", 10)
+    monkeypatch.setattr(d, "ROWS_A_TASK", 500)
+    df = spark.createDataFrame([(i, f"k{i % 2900}", None) for i in range(3000)], "i int, key string, __other int").repartition(5)
     kept = [r.key for r in d.possible_repeats(df, "key").collect()]
-    assert all(kept.count(f"k{i}") == 2 for i in range(100))
+    assert all(kept.count(f"k{i}") == 2 for i in range(100)) and len(kept) < 700
 
 
 def test_collapse_counts_every_row(spark):
