@@ -73,3 +73,25 @@ def test_clean_documents_and_report(spark):
     assert {r.d for r in residue.clean_documents(df, "d", "t", "s").collect()} == {2, 4}
     row = residue.residue_report(df, "d", "t", "s").first()
     assert (row.message, row.documents, row.sources) == ("# Not Found", 2, 2)
+
+
+PAGES = [
+    "Verify you are human by completing the action below", "You must be signed in to see this content", "Sitio en mantenimiento, vuelva pronto", "Attention Required! One more step", "at com.foo.Bar.run(Bar.java:12)",
+    "[Translator: fill this in]", "{0}", "XX_TITLE_XX", "Bitte melden Sie sich an, um fortzufahren", "Quota reached for today", "This video is private",
+]
+
+
+def test_pages_of_unknown_words_are_found_by_their_recurrence(spark):
+    rows = [(100 * k + i, p, f"s{i % 2}") for k, p in enumerate(PAGES) for i in range(4)] + [(9000 + k, sub("Hello there.", p, "Bye."), "s3") for k, p in enumerate(PAGES)]
+    # talk recurs too, and a page may hold only that; what recurs in one source only isn't wide
+    rows += [(5000 + i, sub("Hello there.", "Thank you.", f"It is {i}."), f"s{i % 3}") for i in range(200)] + [(6000, "Thank you.", "s1"), *[(7000 + i, "Nobody wrote this one", "s1") for i in range(5)]]
+    df = spark.createDataFrame(rows, "d long, t string, s string")
+    got = {r.doc_id for r in residue.residue_documents(df, "d", "t", "s").collect()}
+    assert got == {100 * k + i for k in range(len(PAGES)) for i in range(4)} | {9000 + k for k in range(len(PAGES))}
+
+
+def test_confused_and_misread_forms_join_the_message_that_recurs(spark):
+    rows = [(i, "Veuillez rouvrir la page demandée", f"s{i}") for i in range(4)]
+    rows += [(10, sub("Hello there.", "Veuillez rouvrir la page demandÃ©e"), "s1"), (11, sub("Hello there.", "Vcuillez rouvrir 1a page demandée."), "s1"), (12, sub("Hello there.", "Veuillez rouvrir la porte demandée"), "s1")]
+    df = spark.createDataFrame(rows, "d long, t string, s string")
+    assert {r.doc_id for r in residue.residue_documents(df, "d", "t", "s").collect()} == {0, 1, 2, 3, 10, 11}
