@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from querymill.session import materialise
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id that each node reaches, for every node that has a link to another.
 
-    Alternates large-star and small-star steps, each an aggregation and an equi-join, and writes the edges after each round. Nulls, loops and
-    repeated links are ignored; an empty table gives no row."""
+    Alternates large-star and small-star steps, each an aggregation and an equi-join, and writes the edges after each round, until a round changes none
+    (the number of rounds grows with the logarithm of the largest component). Nulls, loops and repeated links are ignored; an empty table gives no row."""
     e = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e, before = materialise(e, "components"), None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
