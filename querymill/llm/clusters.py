@@ -27,6 +27,7 @@ from querymill.session import materialise
 NODE_ROWS = 8192
 COMPACT = 0.9  # least cosine of a leaf's members to its centre
 LLOYD = 3
+BLOCK_TILES, MOST_BLOCKS_OF_ONE = 16, 64  # tiles of one block; up to so many tiles each is a block of its own
 _CHUNK = 1024
 
 
@@ -62,9 +63,9 @@ def route(x: np.ndarray, tree: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.n
         k = todo.pop()
         if k in tree:
             rows = np.flatnonzero(at == k)
-            if len(rows):
+            if len(rows):  # only the paths that vectors take are walked
                 at[rows] = 2 * k + 1 + (x[rows] @ (tree[k][1] - tree[k][0]) > 0)
-            todo += [2 * k + 1, 2 * k + 2]
+                todo += [2 * k + 1, 2 * k + 2]
     return at
 
 
@@ -111,11 +112,12 @@ def _direction(v: np.ndarray) -> np.ndarray:
 
 
 def grow(units: DataFrame, node_rows: int = NODE_ROWS, levels: int = 40) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The upper tree: every node with more than node_rows vectors is split, all of a level in the same passes."""
+    """The upper tree: every node with more than node_rows vectors is split, all of a level in the same passes over the vectors: LLOYD of them to
+    settle the centres, the last of which gives the sizes that the next level starts from."""
     tree: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     stuck: set[int] = set()
+    stats = _sums(units, tree)
     for _ in range(levels):
-        stats = _sums(units, tree)
         large = [k for k, (n, _, _) in stats.items() if n > node_rows and k not in stuck]
         if not large:
             break
@@ -124,17 +126,17 @@ def grow(units: DataFrame, node_rows: int = NODE_ROWS, levels: int = 40) -> dict
             centre = s / n
             away = _direction(far) - centre
             tree[k] = (_direction(centre - 0.5 * away), _direction(centre + 0.5 * away))
-        for _ in range(LLOYD):
+        for step in range(LLOYD):
             stats = _sums(units, tree)
             for k in large:
                 a, b = stats.get(2 * k + 1), stats.get(2 * k + 2)
-                if a and b:
+                if a and b and step < LLOYD - 1:
                     tree[k] = (_direction(a[1]), _direction(b[1]))
-        stats = _sums(units, tree)
-        for k in large:
-            if 2 * k + 1 not in stats or 2 * k + 2 not in stats:
-                del tree[k]
-                stuck.add(k)
+        gone = [k for k in large if 2 * k + 1 not in stats or 2 * k + 2 not in stats]
+        for k in gone:  # all its vectors went to one side
+            del tree[k]
+            stuck.add(k)
+            stats[k] = stats.pop(2 * k + 1, None) or stats.pop(2 * k + 2)
     return tree
 
 
@@ -262,36 +264,34 @@ def tiles(units: DataFrame, tree: dict, least: float, compact: float, node_rows:
 
 
 def cross_links(tile_rows: DataFrame, least: float) -> DataFrame:
-    """(a, b): local sets of different tiles that a similar pair joins. Tiles too far apart to hold one, by the angle of their centres and their
-    radii, aren't compared; of the others, only leaves that may hold one."""
-    known = tile_rows.select("tile", "centre", "radius").collect()  # one small row for NODE_ROWS vectors
-    at = np.array([r.tile for r in known])
-    centre = np.array([np.frombuffer(bytes(r.centre), np.float32) for r in known])
-    radius, reach = np.array([r.radius for r in known]), float(np.arccos(least))
-    pairs = []
-    for k in range(len(known)):
-        angle = np.arccos(np.clip(centre[k + 1 :] @ centre[k], -1, 1))
-        near = np.flatnonzero(angle <= radius[k] + radius[k + 1 :] + reach + 1e-3) + k + 1
-        pairs += [(int(at[k]), int(at[j])) for j in near]
-    spark = tile_rows.sparkSession
-    listed = spark.createDataFrame(pd.DataFrame(pairs, columns=["p", "q"]), "p long, q long") if pairs else spark.createDataFrame([], "p long, q long")
-    ends = listed.select("p", "q", F.explode(F.array("p", "q")).alias("tile"))
-    sides = ends.join(tile_rows.select("tile", "units", "leaves", "sets"), "tile")
+    """(a, b): local sets of different tiles that a similar pair joins. Tiles are put into blocks, and a task compares two blocks, so that a tile is sent once for
+    each block and not for each tile. Tiles too far apart to hold a similar pair, by the angle of their centres and their
+    radii, aren't compared; of the others, only leaves that may hold one. Nothing of this passes the driver."""
+    count = tile_rows.count()
+    blocks = max(1, count if count < MOST_BLOCKS_OF_ONE else -(-count // BLOCK_TILES))
+    reach = float(np.arccos(least)) + 1e-3
+    own = F.pmod(F.xxhash64("tile"), F.lit(blocks)).cast("long")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    sides = tile_rows.select(own.alias("own"), other.alias("other"), "tile", "units", "leaves", "sets", "centre", "radius")
+    sides = sides.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "tile", "units", "leaves", "sets", "centre", "radius")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        p = int(group["p"].iloc[0])
-        one, two = (group[group["tile"] == t].iloc[0] for t in (p, int(group["q"].iloc[0])))
-        sets = [np.frombuffer(s["sets"], np.int64) for s in (one, two)]
-        x, y = (np.frombuffer(s["units"], np.float32).reshape(len(k), -1) for s, k in zip((one, two), sets))
-        leaves = [np.frombuffer(s["leaves"], np.int64) for s in (one, two)]
+        p, q = int(group["p"].iloc[0]), int(group["q"].iloc[0])
+        tiles_ = [(r.own, np.frombuffer(r.sets, np.int64), np.frombuffer(r.leaves, np.int64), r.units, np.frombuffer(r.centre, np.float32), r.radius) for r in group.sort_values("tile").itertuples()]
         found = [np.zeros((2, 0), np.int64)]
-        for rows, cols in leaf_blocks(x, leaves[0], y, leaves[1], least):
-            a, b = np.nonzero(x[rows] @ y[cols].T >= least)
-            found.append(np.unique(np.stack([sets[0][rows[a]], sets[1][cols[b]]]), axis=1))
+        for i, one in enumerate(tiles_):
+            for two in tiles_[i + 1 :]:
+                if (p != q and one[0] == two[0]) or np.arccos(np.clip(one[4] @ two[4], -1, 1)) > one[5] + two[5] + reach:
+                    continue
+                x, y = (np.frombuffer(t[3], np.float32).reshape(len(t[1]), -1) for t in (one, two))
+                for rows, cols in leaf_blocks(x, one[2], y, two[2], least):
+                    a, b = np.nonzero(x[rows] @ y[cols].T >= least)
+                    if len(a):
+                        found.append(np.unique(np.stack([one[1][rows[a]], two[1][cols[b]]]), axis=1))
         links = np.unique(np.concatenate(found, axis=1), axis=1)
         return pd.DataFrame({"a": links[0], "b": links[1]})
 
-    return sides.repartition(max(1, min(len(pairs), 4096)), "p", "q").groupBy("p", "q").applyInPandas(compare, "a long, b long")
+    return sides.repartition(min(4096, blocks * (blocks + 1) // 2), "p", "q").groupBy("p", "q").applyInPandas(compare, "a long, b long")
 
 
 def _unpack(tile_rows: DataFrame) -> DataFrame:
