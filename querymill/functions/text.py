@@ -80,10 +80,15 @@ RECOGNISERS = [
 ]
 
 
+def pii_hits(text: Column, least: float = 0.0) -> Column:
+    """(entity, entity_label) of every place that a recogniser with at least the given score matches."""
+    hits = lambda n, p: F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), lambda x: F.struct(x.alias("entity"), F.lit(n).alias("entity_label")))
+    return F.concat(*[hits(n, p) for n, p, s in RECOGNISERS if s >= least])
+
+
 def pii_labels(text: Column, least: float = 0.7) -> Column:
-    """Labels of the recognisers with at least the given score that match."""
-    found = [F.when(text.rlike(p), F.lit(n)) for n, p, s in RECOGNISERS if s >= least]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    """Labels of all hits of the recognisers with at least the given score, one for each hit."""
+    return F.transform(pii_hits(text, least), lambda h: h["entity_label"])
 
 
 # fixed values: words of the rule backend for intent

@@ -20,6 +20,11 @@ def month(epoch: Column) -> Column:
     return F.date_format(timestamp(epoch), "yyyy-MM")
 
 
+def parse_month(text: Column) -> Column:
+    """The first day of a month given as yyyy-MM; null for other texts."""
+    return F.try_to_date(text, "yyyy-MM")
+
+
 def week(epoch: Column) -> Column:
     """Year and Monday-first week 00 to 53; days before the first Monday are in week 00."""
     t = timestamp(epoch)

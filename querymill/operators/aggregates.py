@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions import time
-from querymill.operators.filters import QUERY, TIMESTAMP
+from querymill.operators.filters import TIMESTAMP
+
+MOST_LOGS = 10_000  # rows of a table of log sizes
 
 
 def group_count(df: DataFrame, *keys: str) -> DataFrame:
@@ -89,5 +91,40 @@ def annual_flags(df: DataFrame, flag: str, n: str = "n") -> DataFrame:
     return df.groupBy("year").agg(hit.alias("hit"), miss.alias("miss"), F.round(hit / F.sum(n), 6).alias("ratio"))
 
 
-def lower_query() -> Column:
-    return F.lower(QUERY)
+def pair_overlaps(df: DataFrame, group: str, value: Column, groups: list[str]) -> DataFrame:
+    """(ds1, ds2, a, b, either, both, share_a, share_b, all_logs, share_all) for every pair of a few logs, exactly: each distinct value once with the set of its logs,
+    then a count for each such set (at most 2 ** logs rows). all_logs is the number of distinct values of all logs together, share_all what part of it the pair shares."""
+    names = sorted(groups)
+    bit = F.lit(0).cast("long")
+    for k, name in enumerate(names):
+        bit = F.when(F.col(group) == name, F.lit(1 << k).cast("long")).otherwise(bit)
+    sets = df.where(F.col(group).isin(names) & value.isNotNull()).groupBy(value.alias("v")).agg(F.bit_or(bit).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    pairs = [(x, y) for x in range(len(names)) for y in range(x + 1, len(names))]
+    listed = F.array(*[F.struct(F.lit(names[x]).alias("ds1"), F.lit(names[y]).alias("ds2"), F.lit(1 << x).cast("long").alias("x"), F.lit(1 << y).cast("long").alias("y")) for x, y in pairs])
+    rows = sets.select("s", "n", F.explode(listed).alias("p")).select("s", "n", "p.*")
+    in_x, in_y = F.col("s").bitwiseAND(F.col("x")) != 0, F.col("s").bitwiseAND(F.col("y")) != 0
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0).cast("long"))
+    out = rows.groupBy("ds1", "ds2").agg(total(in_x).alias("a"), total(in_y).alias("b"), total(in_x | in_y).alias("either"), total(in_x & in_y).alias("both"), F.sum("n").alias("all_logs"))
+    share = lambda of: F.round(F.try_divide("both", of), 6)
+    return out.select("ds1", "ds2", "a", "b", "either", "both", share("a").alias("share_a"), share("b").alias("share_b"), "all_logs", share("all_logs").alias("share_all"))
+
+
+def pair_overlap_estimates(df: DataFrame, group: str, value: Column, groups: list[str]) -> DataFrame:
+    """(ds1, ds2, a, b, either, both) from one sketch for each log, made in one pass, and |A and B| = |A| + |B| - |A or B|."""
+    names = sorted(groups)
+    sketch = lambda name: F.hll_sketch_agg(F.when(F.col(group) == name, value), 16)
+    one = df.where(F.col(group).isin(names) & value.isNotNull()).agg(*[sketch(n).alias(f"s{k}") for k, n in enumerate(names)])
+    pair = lambda x, y: F.struct(F.lit(names[x]).alias("ds1"), F.lit(names[y]).alias("ds2"), F.hll_sketch_estimate(f"s{x}").alias("a"), F.hll_sketch_estimate(f"s{y}").alias("b"), F.hll_sketch_estimate(F.hll_union(f"s{x}", f"s{y}")).alias("either"))
+    rows = one.select(F.explode(F.array(*[pair(x, y) for x in range(len(names)) for y in range(x + 1, len(names))])).alias("p")).select("p.*")
+    return rows.withColumn("both", F.col("a") + F.col("b") - F.col("either"))
+
+
+def _few(sizes: DataFrame) -> DataFrame:
+    if sizes.limit(MOST_LOGS + 1).count() > MOST_LOGS:
+        raise ValueError("more rows of sizes than MOST_LOGS")
+    return sizes
+
+
+def share_of_sizes(counts: DataFrame, sizes: DataFrame, keys: list[str], n: str = "n", size: str = "size") -> DataFrame:
+    """Adds share: n by the size of its log, from a table of few sizes; null where the log has none."""
+    return counts.join(F.broadcast(_few(sizes.select(*keys, size))), keys, "left").withColumn("share", F.try_divide(n, size))

@@ -42,6 +42,16 @@ def equals(df: DataFrame, value, column: str = PROVIDER) -> DataFrame:
     return df.where(F.col(column) == value)
 
 
+def flagged(df: DataFrame, flag: str) -> DataFrame:
+    """The rows whose flag is true."""
+    return df.where(F.col(flag))
+
+
+def rewritten(df: DataFrame, column: str, texts: dict[str, str]) -> DataFrame:
+    """Literal values of a column replaced by others; what isn't listed stays."""
+    return df.replace(texts, subset=[column]) if texts else df
+
+
 def lengths(df: DataFrame, values: list[int] = (14, 16, 24), column: str = "character_count") -> DataFrame:
     return df.where(F.col(column).isin(list(values)))
 

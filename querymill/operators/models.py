@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 Model = Callable[[Sequence[str]], Sequence]
+Load = Callable[[], Model]
 
 
 def _mapped(batches: Iterator[pa.RecordBatch], load: Callable[[], Model]) -> Iterator[tuple[pa.RecordBatch, list, list]]:

@@ -80,6 +80,13 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return df.where(F.col(vector).isNotNull()).select(group, F.posexplode(vector).alias("axis", "x")).groupBy(group, "axis").agg(F.avg("x").alias("mean"))
 
 
+def centred(df: DataFrame, vector: str, out: str = "centred") -> DataFrame:
+    """Adds the vectors less the mean of all, axis by axis. Null vectors stay null and don't count; the mean is one row of as many numbers as axes."""
+    axes = df.where(F.col(vector).isNotNull()).select(F.posexplode(vector).alias("axis", "x")).groupBy("axis").agg(F.avg("x").alias("m"))
+    mean = axes.agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "m"))), lambda a: a["m"]).alias("__mean"))
+    return df.join(F.broadcast(mean), F.lit(True)).withColumn(out, F.zip_with(vector, "__mean", lambda x, m: x - m)).drop("__mean")
+
+
 def communities(df: DataFrame, id_col: str, vector: str, dim: int, threshold: float = 0.75, smallest: int = 25, block: int = 4096) -> DataFrame:
     """(cluster_id, member_rank, id): around each vector lie those with at least the threshold cosine; the largest such
     neighbourhoods of at least `smallest` vectors are kept, the larger first, each without members already taken.

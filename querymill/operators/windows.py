@@ -21,6 +21,11 @@ def top_n(df: DataFrame, n: int, by: list) -> DataFrame:
     return df.orderBy(*by).limit(n)
 
 
+def slice_of(df: DataFrame, first: int, rows: int, by: list) -> DataFrame:
+    """Rows first to first + rows - 1 (from 0) in the given order; partitions keep only what may be among them."""
+    return df.orderBy(*by).offset(first).limit(rows)
+
+
 def count_steps(df: DataFrame, groups: list[str], n: str = "n") -> DataFrame:
     """(groups, n, elements, first_rank, last_rank, share_before, share_to): the rank-size curve in steps of equal count, the largest count first."""
     steps = df.groupBy(*groups, n).agg(F.count("*").alias("elements"))

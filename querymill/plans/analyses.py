@@ -10,11 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from querymill.functions import questions as q
 from querymill.functions import text, time
 from querymill.operators import aggregates as agg
 from querymill.operators import filters as flt
-from querymill.operators import sampling
+from querymill.operators import models, sampling
 from querymill.operators import windows as win
 from querymill.operators.filters import PROVIDER, QUERY, TIMESTAMP
 from querymill.operators.sets import union_logs
@@ -32,7 +34,8 @@ def analysis(name: str) -> Callable[[Analysis], Analysis]:
 
 
 def run(spark: SparkSession, name: str, logs: list[DataFrame], **options) -> DataFrame:
-    """Runs an analysis over the union of the logs."""
+    """Runs an analysis over the union of the logs. Analyses that rules stand in for (entities, personal data, intent, embeddings) take model=…, a function
+    that loads one (see operators.models); it then runs in place of the rules."""
     if name not in REGISTRY:
         raise KeyError(f"unknown analysis {name!r}; known: {', '.join(sorted(REGISTRY))}")
     return REGISTRY[name](union_logs(*logs), **options)
@@ -138,13 +141,18 @@ def merge_words(df: DataFrame, n: str = "n") -> DataFrame:
     return agg.merge_counts(df.where("word is not null"), "word", n=n)
 
 
-def entities(df: DataFrame) -> DataFrame:
+ENTITY = T.StructType([T.StructField("entity", T.StringType()), T.StructField("entity_label", T.StringType())])
+
+
+def entities(df: DataFrame, model: models.Load | None = None) -> DataFrame:
+    if model is not None:
+        return models.extract(_texts(df), QUERY, ENTITY, model)
     return _texts(df).select(F.explode(text.entities(F.col(QUERY))).alias("e")).select("e.*")
 
 
 @analysis("extract-named-entities")
-def extract_entities(df: DataFrame) -> DataFrame:
-    return agg.sorted_count(entities(df), "entity", "entity_label")
+def extract_entities(df: DataFrame, model: models.Load | None = None) -> DataFrame:
+    return agg.sorted_count(entities(df, model), "entity", "entity_label")
 
 
 @analysis("extract-search-operators")
@@ -158,15 +166,19 @@ def operator_counts(df: DataFrame) -> DataFrame:
 
 
 @analysis("extract-presidio-pii")
-def pii(df: DataFrame, least: float = 0.7) -> DataFrame:
+def pii(df: DataFrame, least: float = 0.7, model: models.Load | None = None) -> DataFrame:
+    """One row for each hit."""
+    if model is not None:
+        return models.extract(_texts(df), QUERY, ENTITY, model).select("entity_label")
     return _texts(df).select(F.explode(text.pii_labels(F.col(QUERY), least)).alias("entity_label"))
 
 
 @analysis("extract-gliner-pii")
-def pii_entities(df: DataFrame) -> DataFrame:
-    """With the text that the recogniser matched first."""
-    found = [F.struct(F.regexp_extract(QUERY, f"({p})", 1).alias("entity"), F.lit(n).alias("entity_label")) for n, p, _ in text.RECOGNISERS]
-    rows = _texts(df).select(F.explode(F.filter(F.array(*found), lambda x: x["entity"] != "")).alias("e")).select("e.*")
+def pii_entities(df: DataFrame, model: models.Load | None = None) -> DataFrame:
+    """Every hit with its text."""
+    if model is not None:
+        return agg.sorted_count(models.extract(_texts(df), QUERY, ENTITY, model), "entity", "entity_label")
+    rows = _texts(df).select(F.explode(text.pii_hits(F.col(QUERY))).alias("e")).select("e.*")
     return agg.sorted_count(rows, "entity", "entity_label")
 
 
@@ -225,7 +237,9 @@ def entity_total(df: DataFrame) -> DataFrame:
 
 
 @analysis("query-intent")
-def query_intent(df: DataFrame) -> DataFrame:
+def query_intent(df: DataFrame, model: models.Load | None = None) -> DataFrame:
+    if model is not None:
+        return agg.group_count(models.predict(_texts(df).select(QUERY), QUERY, "query_intent", T.StringType(), model), "query_intent")
     return agg.group_count(_texts(df).select(text.intent(F.col(QUERY)).alias("query_intent")), "query_intent")
 
 
@@ -235,7 +249,9 @@ def question_counts(df: DataFrame) -> DataFrame:
 
 
 @analysis("get-embeddings")
-def embeddings(df: DataFrame, share: float = 0.1) -> DataFrame:
+def embeddings(df: DataFrame, share: float = 0.1, model: models.Load | None = None) -> DataFrame:
+    if model is not None:
+        return models.predict(sampling.fraction(_texts(df), share, QUERY).select(QUERY), QUERY, "embeddings", T.ArrayType(T.FloatType()), model)
     return sampling.fraction(_texts(df), share, QUERY).select(QUERY, text.embedding(F.col(QUERY)).alias("embeddings"))
 
 

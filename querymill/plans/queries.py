@@ -132,12 +132,12 @@ def count_distinct_lower(spark, sf):
     return an.count_distinct_lower(log(spark, sf))
 
 
-@query("select true as close")
+@query(f"select count(distinct {_Q}) as n, 1.0::double as estimate_by_exact, true as close from query_log")
 def count_distinct_hll(spark, sf):
-    """Whether the estimate is within three standard errors of the exact count."""
+    """The exact count, the estimate divided by it to one digit, and whether the estimate is within three standard errors."""
     df = log(spark, sf)
     both = agg.distinct_estimate(df, F.col(QUERY), "e").join(agg.distinct_count(df, F.col(QUERY), "n"), F.lit(True))
-    return both.select((F.abs(F.col("e") - F.col("n")) <= F.greatest(F.lit(3.0), F.col("n") * 0.0123)).alias("close"))
+    return both.select("n", F.round(F.try_divide("e", "n"), 1).alias("estimate_by_exact"), (F.abs(F.col("e") - F.col("n")) <= F.greatest(F.lit(3.0), F.col("n") * 0.0123)).alias("close"))
 
 
 @query(f"select char, count(*) as n from (select unnest(string_split(replace({_Q}, ' ', ''), '')) as char from query_log where {_Q} is not null) where char <> '' group by 1")
@@ -183,22 +183,30 @@ def search_operator_counts(spark, sf):
     return an.operator_counts(log(spark, sf))
 
 
-_PII = " union all ".join(f"select '{n}' as entity_label from query_log where {_RLIKE(p)}" for n, p, s in text.RECOGNISERS if s >= 0.7)
+_HITS = " union all ".join(f"select dataset, unnest(regexp_extract_all({_Q}, '({p})', 1)) as entity, '{n}' as entity_label, {s} as score from query_log where {_Q} is not null" for n, p, s in text.RECOGNISERS)
 
 
-@query(f"select entity_label, count(*) as n from ({_PII}) group by 1")
+@query(f"select entity_label, count(*) as n from ({_HITS}) where score >= 0.7 group by 1")
 def pii_labels(spark, sf):
+    """One count for each hit."""
     return an.group_pii(an.pii(log(spark, sf)))
 
 
-_PII_ENT = " union all ".join(f"select regexp_extract({_Q}, '({p})', 1) as entity, '{n}' as entity_label from query_log where {_Q} is not null" for n, p, s in text.RECOGNISERS)
-
-
-@query(f"select entity, entity_label, count(*) as n from ({_PII_ENT}) where entity <> '' group by all")
+@query(f"select entity, entity_label, count(*) as n from ({_HITS}) group by all")
 def pii_entities(spark, sf):
     return an.pii_entities(log(spark, sf))
 
 
+@query(f"""select dataset, entity_label, n, size, round(n / size, 6) as share from (select dataset, entity_label, count(*) as n from ({_HITS}) where score >= 0.7 group by all)
+  join (select dataset, count(*) as size from query_log group by 1) using (dataset)""")
+def pii_shares(spark, sf):
+    """Hits of each label by the size of the log."""
+    rows = log(spark, sf)
+    hits = rows.where(F.col(QUERY).isNotNull()).select("dataset", F.explode(text.pii_labels(F.col(QUERY))).alias("entity_label"))
+    sizes = agg.group_count(rows, "dataset").withColumnRenamed("n", "size")
+    return agg.share_of_sizes(agg.group_count(hits, "dataset", "entity_label"), sizes, ["dataset"]).withColumn("share", F.round("share", 6))
+
+
 # lengths
 
 
@@ -289,21 +297,46 @@ def question_counts(spark, sf):
     return an.question_counts(log(spark, sf))
 
 
+def _flags_sql() -> str:
+    inner = _question_sql(False)
+    inner = inner[inner.index("from (") + 6 : inner.rindex(") group by 1")].replace("select record_id, bool_or", "select dataset, record_id, bool_or").replace("select record_id, unnest", "select dataset, record_id, unnest").replace("group by record_id", "group by dataset, record_id")
+    return f"select dataset, count(*) as n, round(count(*) / any_value(t), 6) as share from (select *, count(*) over (partition by dataset) as t from ({inner})) where flag group by 1"
+
+
+@query(_flags_sql())
+def question_ratio(spark, sf):
+    """What part of each log's texts are questions."""
+    flags = log(spark, sf).where(F.col(QUERY).isNotNull()).select("dataset", q.is_question(F.col(QUERY)).alias("is_question"))
+    shares = win.normalised(agg.group_count(flags, "dataset", "is_question"), ["dataset"])
+    return flt.flagged(shares, "is_question").select("dataset", "n", F.round("p", 6).alias("share"))
+
+
 @query(_question_sql(True))
 def closed_questions(spark, sf):
     return agg.group_count(log(spark, sf).where(F.col(QUERY).isNotNull()).select(q.is_closed_question(F.col(QUERY)).alias("is_closed_question")), "is_closed_question")
 
 
-@query()
+_DRAW = "('0x' || substr(md5('42|' || {0}), 1, 12))::bigint"
+
+
+@query(f"select {_Q}, 64 as numbers from query_log where {_DRAW.format(_Q)} % 1000000 < 100000")
 def embeddings_sample(spark, sf):
-    return an.embeddings(log(spark, sf))
+    """The texts of the sample and how many numbers the vector of each has."""
+    return an.embeddings(log(spark, sf)).select(QUERY, F.size("embeddings").alias("numbers"))
 
 
-@query()
+@query(f"select record_id, {_Q} from query_log order by {_DRAW.format('record_id')}, record_id limit 500")
 def sample_to_size(spark, sf):
     return sampling.to_size(log(spark, sf).select("record_id", QUERY), 500, "record_id")
 
 
+@query(f"""select d as draw, record_id from (select unnest(range(2000)) as d) join (select record_id, row_number() over (order by record_id) - 1 as pos, count(*) over () as n from query_log)
+  on pos = {_DRAW.format('d')} % n""")
+def resampled(spark, sf):
+    """2,000 rows with replacement."""
+    return sampling.resample(log(spark, sf).select("record_id"), 2000, "record_id")
+
+
 # time
 
 
@@ -330,6 +363,12 @@ _HEAD = f"(select {_Q} from query_log where {_Q} is not null and serp_timestamp
 _MONTHLY = f"(select {_MONTH} as time, {_Q}, count(*) as n from query_log where serp_timestamp is not null and {_Q} in (select * from {_HEAD}) group by all)"
 
 
+@query("select time, strptime(time || '-01', '%Y-%m-%d')::date as first_day, n from " + f"(select {_MONTH} as time, count(*) as n from query_log where serp_timestamp is not null group by 1)")
+def month_days(spark, sf):
+    """Months parsed back to days."""
+    return an.monthly_counts(log(spark, sf)).select("time", time.parse_month(F.col("time")).alias("first_day"), "n")
+
+
 @query(f"select * from {_MONTHLY}")
 def temporal_query_frequency(spark, sf):
     return an.temporal_frequency(log(spark, sf))
@@ -389,9 +428,35 @@ def log_overlap_lower(spark, sf):
     return agg.log_overlap(log(spark, sf, "aql"), log(spark, sf, "aol"), F.lower(QUERY))
 
 
-@query()
+def _close(estimate: str, exact: str, scale: str):
+    """An estimate is within three standard errors of what it estimates (of the union's, for a difference of counts)."""
+    return (F.abs(F.col(estimate) - F.col(exact)) <= F.greatest(F.lit(3.0), 0.03 * F.col(scale))).alias(f"{exact}_close")
+
+
+@query(f"select a, b, either, \"both\", true as a_close, true as b_close, true as both_close from ({_overlap_sql(_Q)})")
 def log_overlap_hll(spark, sf):
-    return an.overlap_report(log(spark, sf, "aql"), log(spark, sf, "aol"), exact=False)
+    """The exact counts, and whether the sketches' are close to them."""
+    own, other = log(spark, sf, "aql"), log(spark, sf, "aol")
+    exact = an.overlap_report(own, other).select("a", "b", "either", "both")
+    sketch = an.overlap_report(own, other, exact=False).select(*[F.col(c).alias(f"e_{c}") for c in ("a", "b", "both")])
+    return exact.join(sketch, F.lit(True)).select("a", "b", "either", "both", *[_close(f"e_{c}", c, "either") for c in ("a", "b", "both")])  # one row each
+
+
+_PAIR_FLAGS = f"(select v, max(case dataset when 'aol' then 1 else 0 end) as aol, max(case dataset when 'aql' then 1 else 0 end) as aql, max(case dataset when 'ms-marco' then 1 else 0 end) as ms, max(case dataset when 'orcas' then 1 else 0 end) as orcas from (select {_Q} as v, dataset from query_log where {_Q} is not null) group by v)"
+_PAIR_ROWS = " union all ".join(f"""select '{a}' as ds1, '{b}' as ds2, cast(sum({x}) as bigint) as a, cast(sum({y}) as bigint) as b, cast(sum(greatest({x}, {y})) as bigint) as either, cast(sum({x} * {y}) as bigint) as both,
+  count(*) as all_logs from {_PAIR_FLAGS}""" for a, x, b, y in (("aol", "aol", "aql", "aql"), ("aol", "aol", "ms-marco", "ms"), ("aol", "aol", "orcas", "orcas"), ("aql", "aql", "ms-marco", "ms"), ("aql", "aql", "orcas", "orcas"), ("ms-marco", "ms", "orcas", "orcas")))
+
+
+@query(f"select *, round(\"both\" / a, 6) as share_a, round(\"both\" / b, 6) as share_b, round(\"both\" / all_logs, 6) as share_all from ({_PAIR_ROWS})")
+def log_overlap_all(spark, sf):
+    return agg.pair_overlaps(log(spark, sf), "dataset", F.col(QUERY), LOGS)
+
+
+@query(f"select ds1, ds2, a, b, either, \"both\", true as a_close, true as b_close, true as both_close from ({_PAIR_ROWS})")
+def log_overlap_all_hll(spark, sf):
+    exact = agg.pair_overlaps(log(spark, sf), "dataset", F.col(QUERY), LOGS)
+    sketch = agg.pair_overlap_estimates(log(spark, sf), "dataset", F.col(QUERY), LOGS).select("ds1", "ds2", *[F.col(c).alias(f"e_{c}") for c in ("a", "b", "both")])
+    return exact.join(sketch, ["ds1", "ds2"]).select("ds1", "ds2", "a", "b", "either", "both", *[_close(f"e_{c}", c, "either") for c in ("a", "b", "both")])
 
 
 def _annual_sql(v: str) -> str:
@@ -412,9 +477,14 @@ def annual_overlap_lower(spark, sf):
     return an.annual_overlap_lower(log(spark, sf, "aql"), log(spark, sf, "aol"))
 
 
-@query()
+@query(f"select year, a, \"both\", true as a_close, true as both_close from ({_annual_sql(_Q)})")
 def annual_overlap_hll(spark, sf):
-    return an.annual_overlap(log(spark, sf, "aql"), log(spark, sf, "aol"), exact=False)
+    """The exact counts of each year, and whether the sketches' are close to them (an overlap by the size of the union)."""
+    own, other = log(spark, sf, "aql"), log(spark, sf, "aol")
+    exact = an.annual_overlap(own, other).select("year", "a", "b", "both")
+    sketch = an.annual_overlap(own, other, exact=False).select("year", F.col("a").alias("e_a"), F.col("both").alias("e_both"))
+    rows = exact.join(sketch, "year").withColumn("either", F.col("a") + F.col("b") - F.col("both"))
+    return rows.select("year", "a", "both", _close("e_a", "a", "either"), _close("e_both", "both", "either"))
 
 
 @query(f"select a.year, a.{_Q}, a.n from {_TOP25.replace('DS', 'aql')} a where (a.year, a.{_Q}) in (select (year, {_Q}) from {_TOP25.replace('DS', 'aol')})")
@@ -436,10 +506,18 @@ def top_word_overlap(spark, sf):
     return sets.pairwise_shared(_top_words(spark, sf), "dataset", "word")
 
 
-_LABELS = " union all ".join(f"select dataset, '{n}' as entity_label from query_log where {_RLIKE(p)}" for n, p, s in text.RECOGNISERS)
+_SHARED_SIZES = f"""(select p.ds1, p.ds2, count(b.word) as shared from (select a.d as ds1, b.d as ds2 from (select unnest(['aol', 'aql', 'ms-marco', 'orcas']) as d) a, (select unnest(['aol', 'aql', 'ms-marco', 'orcas']) as d) b where a.d < b.d) p
+  left join {_TOP_WORDS} a on a.dataset = p.ds1 left join {_TOP_WORDS} b on b.dataset = p.ds2 and b.word = a.word group by all)"""
+
+
+@query(f"""select round(avg(shared) filter (where 'aql' in (ds1, ds2)), 6) as target_mean, round(avg(shared) filter (where 'aql' not in (ds1, ds2)), 6) as rest_mean,
+  round(var_pop(shared) filter (where 'aql' not in (ds1, ds2)), 6) as rest_var, round(stddev_pop(shared) filter (where 'aql' not in (ds1, ds2)), 6) as rest_std from {_SHARED_SIZES}""")
+def top_word_overlap_statistics(spark, sf):
+    rows = sets.overlap_statistics(_top_words(spark, sf), "dataset", "word", LOGS, "aql")
+    return rows.select(*[F.round(c, 6).alias(c) for c in rows.columns])
 
 
-@query(f"select dataset, entity_label, count(*) as n from ({_LABELS}) group by 1, 2 qualify count(*) over (partition by entity_label) = 4")
+@query(f"select dataset, entity_label, count(*) as n from ({_HITS}) group by 1, 2 qualify count(*) over (partition by entity_label) = 4")
 def common_labels(spark, sf):
     rows = log(spark, sf).where(F.col(QUERY).isNotNull()).select("dataset", F.explode(text.pii_labels(F.col(QUERY), 0.0)).alias("entity_label"))
     return sets.in_all(agg.group_count(rows, "dataset", "entity_label"), "dataset", "entity_label", 4)
@@ -469,11 +547,22 @@ def month_spine_popularity(spark, sf):
   v as (select m.time, i.{_Q}, coalesce(b.n, 0) as y from m, (select distinct {_Q} from b) i left join b on b.time = m.time and b.{_Q} = i.{_Q})
   select {_Q}, case when stddev_pop(x) > 1e-6 and stddev_pop(y) > 1e-6 then round(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)), 6) end as correlation from u join v using (time, {_Q}) group by 1""")
 def temporal_correlation(spark, sf):
+    return _correlations(spark, sf).withColumn("correlation", F.round("correlation", 6))
+
+
+def _correlations(spark, sf) -> DataFrame:
     all_rows = log(spark, sf)
     timed = all_rows.where(F.col(TIMESTAMP).isNotNull() & F.col(QUERY).isNotNull())
     head = [r[0] for r in win.top_n(agg.group_count(timed, QUERY), 100, [F.desc("n"), QUERY]).collect()]  # 100 texts
     a, b = (series.dense_months(an.temporal_frequency(log(spark, sf, d), head), QUERY) for d in ("aql", "aol"))
-    return series.correlation(a, b, QUERY, "n").withColumn("correlation", F.round("correlation", 6))
+    return series.correlation(a, b, QUERY, "n")
+
+
+@query(f"select {_Q}, correlation from ({SQL['temporal_correlation']}) where correlation is not null order by correlation desc, {_Q} limit 9 offset 4")
+def top_correlations(spark, sf):
+    """The fifth to thirteenth highest."""
+    rows = _correlations(spark, sf).withColumn("correlation", F.round("correlation", 6)).where("correlation is not null")
+    return win.slice_of(rows, 4, 9, [F.desc("correlation"), QUERY])
 
 
 @query(f"select {_Q}, round(sum(1 / (60 + r)), 6) as rrf from (select {_Q}, row_number() over (partition by year order by n desc, {_Q}) as r from {_TOP25.replace('DS', 'aql')}) group by 1")
@@ -562,18 +651,14 @@ def w1_lengths(spark, sf):
     return stats.wasserstein(stats.paired(_lengths(spark, sf), LOGS)).withColumn("distance", F.round("distance", 4))
 
 
-_RANKS = f"(select dataset, x, n from (select dataset, n, row_number() over (partition by dataset order by n desc, word) as x from {_WORD_N}) where x <= 200)"
+_RANKED = f"(select dataset, n, row_number() over w as x, sum(n) over (partition by dataset order by n desc, word rows unbounded preceding) / sum(n) over (partition by dataset) as s from {_WORD_N} window w as (partition by dataset order by n desc, word))"
+_RANKS = f"(select dataset, x, n from {_RANKED} where x <= (select max(k) from (select count(*) filter (where s < 0.957) as k from {_RANKED} group by dataset)))"
 
 
-@query(f"with {_paired(_RANKS)} select ds1, ds2, round(sum(abs(f - g) * coalesce(gap, 0)), 4) as distance from cu group by all")
+@query(f"with {_paired(_RANKS)} select ds1, ds2, round(sum(abs(f - g) * coalesce(gap, 0)), 3) as distance from cu group by all")
 def w1_rank_size(spark, sf):
-    ranked = win.top_k(_word_counts(spark, sf), 200, ["dataset"], [F.desc("n"), "word"]).select("dataset", F.col("rank").alias("x"), "n")
-    return stats.wasserstein(stats.paired(ranked, LOGS)).withColumn("distance", F.round("distance", 4))
-
-
-@query()
-def w1_rank_size_whole(spark, sf):
-    return stats.rank_wasserstein(_word_counts(spark, sf), LOGS).withColumn("distance", F.round("distance", 4))
+    """Rank-size curves to the most ranks of any log below a cumulative share of 0.957."""
+    return stats.rank_wasserstein(_word_counts(spark, sf), LOGS).withColumn("distance", F.round("distance", 3))
 
 
 _INTENT = SQL["query_intent"].replace("select case", "select dataset, case").replace("as query_intent", "as x").replace("group by 1", "group by all")
@@ -606,12 +691,13 @@ def ks_test(spark, sf):
     return rows.select("ds1", "ds2", F.round("statistic", 6).alias("statistic"), F.round("threshold", 6).alias("threshold"), "same")
 
 
-@query(f"""with {_paired(f'({_INTENT})')}, e as (select *, sum(n1) over (partition by ds1, ds2) * q as e from sh where n2 > 0)
-  select ds1, ds2, round(sum((n1 - e) * (n1 - e) / e), 3) as statistic, count(*) as k from e group by all""")
+# fixed values in the SQL: the 95 % quantiles of chi-square for one and two degrees of freedom
+@query(f"""with {_paired(f'({_INTENT})')}, e as (select *, sum(n1) over (partition by ds1, ds2) * q as e from sh where n2 > 0),
+  c as (select ds1, ds2, sum((n1 - e) * (n1 - e) / e) as v, count(*) as k from e group by all), t as (select *, case k when 1 then 0.0 when 2 then 3.841459 when 3 then 5.991465 end as threshold from c)
+  select ds1, ds2, round(v, 3) as statistic, round(threshold, 4)::double as threshold, v <= threshold as same from t""")
 def chi2_statistic(spark, sf):
-    pairs = stats.paired(_intents(spark, sf), LOGS)
-    sizes = pairs.where("n2 > 0").groupBy("ds1", "ds2").agg(F.count("*").alias("k"))
-    return stats.chi_square(pairs).join(sizes, ["ds1", "ds2"]).select("ds1", "ds2", F.round("statistic", 3).alias("statistic"), "k")
+    rows = stats.chi_square(stats.paired(_intents(spark, sf), LOGS))
+    return rows.select("ds1", "ds2", F.round("statistic", 3).alias("statistic"), F.round("threshold", 4).alias("threshold"), "same")
 
 
 @query(f"with {_paired(_LENGTHS)} select ds1, ds2, round(2 * sum(p * ln(p / q)), 6) as statistic from sh where n1 > 0 and n2 > 0 group by all")
@@ -623,10 +709,12 @@ _DIST = _W1.replace("round(sum(abs(f - g) * coalesce(gap, 0)), 4)", "sum(abs(f -
 
 
 @query(f"""select round(avg(distance) filter (where 'aql' in (ds1, ds2)), 4) as target_mean, round(avg(distance) filter (where 'aql' not in (ds1, ds2)), 4) as rest_mean,
-  round(stddev_pop(distance) filter (where 'aql' not in (ds1, ds2)), 4) as rest_std from ({_DIST})""")
+  round(stddev_pop(distance) filter (where 'aql' not in (ds1, ds2)), 4) as rest_std,
+  round(avg(distance) filter (where 'aql' not in (ds1, ds2)) - avg(distance) filter (where 'aql' in (ds1, ds2)), 4) as deviation,
+  round((avg(distance) filter (where 'aql' not in (ds1, ds2)) - avg(distance) filter (where 'aql' in (ds1, ds2))) / nullif(stddev_pop(distance) filter (where 'aql' not in (ds1, ds2)), 0), 4) as deviations from ({_DIST})""")
 def group_similarity(spark, sf):
     rows = stats.group_similarity(stats.wasserstein(stats.paired(_lengths(spark, sf), LOGS)), "aql")
-    return rows.select(*[F.round(c, 4).alias(c) for c in ("target_mean", "rest_mean", "rest_std")])
+    return rows.select(*[F.round(c, 4).alias(c) for c in ("target_mean", "rest_mean", "rest_std", "deviation", "deviations")])
 
 
 @query(f"select round(sum(distance) * 2 / 16, 4) as mean from ({_DIST})")
@@ -646,10 +734,11 @@ def mds_coordinates(spark, sf):
     return stats.mds(stats.wasserstein(stats.paired(_lengths(spark, sf), LOGS)))
 
 
-@query(f"select dataset, map_from_entries(list(row(cast(x as varchar), n) order by x)) is not null as has_map, cast(sum(n) as bigint) as total from {_LENGTHS} group by 1")
+@query(f"select dataset, '{{' || string_agg('\"' || x || '\":' || n, ',' order by x) || '}}' as frequencies, cast(sum(n) as bigint) as total from {_LENGTHS} group by 1")
 def length_maps(spark, sf):
-    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("x").cast("string").alias("key"), F.col("n").alias("value")))))
-    return _lengths(spark, sf).groupBy("dataset").agg(pairs.isNotNull().alias("has_map"), F.sum("n").alias("total"))
+    """The lengths of each log with their counts, as a JSON object in the order of the lengths."""
+    pairs = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("x", "n"))), lambda p: F.struct(p["x"].cast("string"), p["n"])))
+    return _lengths(spark, sf).groupBy("dataset").agg(F.to_json(pairs).alias("frequencies"), F.sum("n").alias("total"))
 
 
 # vectors
@@ -660,6 +749,14 @@ def embedding_centroids(spark, sf):
     return vectors.centroids(table(spark, sf, "embeddings"), "label", "embedding").select("label", F.col("axis").cast("long").alias("axis"), F.round("mean", 5).alias("mean"))
 
 
+@query("""with m as (select i, avg(embedding[i]) as m from embeddings, unnest(range(1, 65)) r(i) where embedding is not null group by 1)
+  select vec_id, round(sum((embedding[i] - m) * (embedding[i] - m)), 4) as size from embeddings, m where embedding is not null group by 1""")
+def centred_embeddings(spark, sf):
+    """The squared length of each vector less the mean of all."""
+    rows = vectors.centred(table(spark, sf, "embeddings"), "embedding")
+    return rows.where("embedding is not null").select("vec_id", F.round(F.aggregate("centred", F.lit(0.0), lambda a, x: a + x * x), 4).alias("size"))
+
+
 @query()
 def sliced_wasserstein(spark, sf):
     df = table(spark, sf, "embeddings").withColumn("cloud", F.col("label") % 2)
