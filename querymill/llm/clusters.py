@@ -199,24 +199,28 @@ def leaf_blocks(x: np.ndarray, leaf_x: np.ndarray, y: np.ndarray, leaf_y: np.nda
     """Rows of x and of y to compare, about _CHUNK rows of x at once: whole leaves, with the leaves of y that may hold a vector similar to one of theirs
     by the angle of their centres and their radii. By the triangle inequality of angles no similar pair is outside."""
 
-    def ordered(z: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        names, own = np.unique(leaf, return_inverse=True)
-        centres = np.zeros((len(names), z.shape[1]), np.float64)
-        np.add.at(centres, own, z)
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-        radius = np.zeros(len(names))
-        np.maximum.at(radius, own, np.arccos(np.clip((z * centres[own]).sum(axis=1), -1, 1)))
-        return np.argsort(own, kind="stable"), np.bincount(own), centres, radius
+    reach = float(np.arccos(least)) + 1e-3
 
-    rows_x, sizes_x, centres_x, radius_x = ordered(x, leaf_x)
-    rows_y, sizes_y, centres_y, radius_y = ordered(y, leaf_y)
-    ends, reach = np.cumsum(sizes_x), float(np.arccos(least)) + 1e-3
-    first = 0
+    def ordered(z: np.ndarray, leaf: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by leaf, sizes, and for each leaf its centre with two numbers more: the product of one of x and one of y is at least 0 where the cosine of the centres
+        is at least that of the sum of both radii and the reach, as cos(a + b) = cos a cos b - sin a sin b."""
+        names, at = np.unique(leaf, return_inverse=True)
+        centres = np.zeros((len(names), z.shape[1] + 2), np.float32)
+        np.add.at(centres[:, :-2], at, z)
+        centres[:, :-2] /= np.maximum(np.linalg.norm(centres[:, :-2], axis=1, keepdims=True), 1e-12)
+        radius = np.zeros(len(names))
+        np.maximum.at(radius, at, np.arccos(np.clip((z * centres[at, :-2]).sum(axis=1), -1, 1)))
+        radius = np.minimum(radius, (np.pi - reach) / 2) + (reach if own else 0)
+        centres[:, -2], centres[:, -1] = -np.cos(radius) if own else np.cos(radius), np.sin(radius)
+        return np.argsort(at, kind="stable"), np.bincount(at), centres
+
+    rows_x, sizes_x, centres_x = ordered(x, leaf_x, True)
+    rows_y, sizes_y, centres_y = ordered(y, leaf_y, False)
+    ends, first = np.cumsum(sizes_x), 0
     while first < len(ends):
         begin = ends[first] - sizes_x[first]
         last = max(first + 1, int(np.searchsorted(ends, begin + _CHUNK, "right")))
-        angle = np.arccos(np.clip(centres_x[first:last] @ centres_y.T, -1, 1))
-        near = (angle <= radius_x[first:last, None] + radius_y + reach).any(axis=0)
+        near = (centres_x[first:last] @ centres_y.T >= -1e-3).any(axis=0)
         cols = rows_y[np.repeat(near, sizes_y)]
         for cut in range(begin, ends[last - 1], _CHUNK):  # one leaf may be larger
             if len(cols):

@@ -6,7 +6,7 @@ A value that outweighs the rest of a group shows its symbols as the heaviest at
 four positions that others won. Decoded fingerprints are taken out of all counters (peeling), which uncovers lighter
 ones. What is decoded is only a candidate: a second pass counts the candidates' values exactly.
 
-Memory: 3 x groups x 240 counters, whatever the number of rows or distinct values. Neither pass shuffles by value before
+Memory: 3 x groups x 240 counters, whatever the number of rows or distinct values; a share so small that it needs more than MOST_GROUPS groups is an error. Neither pass shuffles by value before
 a map-side combine, so a value that holds a third of all rows costs no more than another.
 """
 
@@ -25,6 +25,7 @@ SYMBOLS = 15
 MESSAGE = 7
 CELLS = SYMBOLS * 16
 REPS = 3
+MOST_GROUPS = 1 << 14  # three times so many groups of 240 counters of 8 bytes are 94 MB a task
 _BLOCK = 64
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -146,6 +147,8 @@ def candidates(df: DataFrame, column: str, share: float = 0.004, groups: int | N
     """(fp, approx_n, total): fingerprints that may belong to a value with at least the given share of the non-null
     rows, and the number of those rows. Empty for an empty table."""
     groups = groups or 1 << max(6, int(np.ceil(np.log2(4 / share))))
+    if groups > MOST_GROUPS:
+        raise ValueError(f"a share of {share} needs {groups} groups; the least that MOST_GROUPS allows is {4 / MOST_GROUPS}")
     blocks = -(-groups // _BLOCK)
 
     def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

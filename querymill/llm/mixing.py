@@ -20,10 +20,11 @@ TILT = 0.5
 MIXTURE_ROWS = 100_000
 
 
-def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def plan(sizes: DataFrame, targets: DataFrame, schedules: DataFrame | None = None) -> DataFrame:
     """(mixture, source, target_share, max_repeats, tokens, demand, slope): for each mixture the largest total at which every source can
     give its share within its repeats. slope tilts the source's weight over time: share * (1 + slope * (2t - 1)); slopes weighted
-    by share add up to 0, so the weights add up to 1 at all times. Small sources come later.
+    by share add up to 0, so the weights add up to 1 at all times. schedules (mixture, source, tilt) says which sources come late (tilt 1) or early (-1), at most so
+    much; a source without a row has tilt 0. Without schedules small sources come later.
 
     Sources of a mixture without any token get no demand, and the others' shares are scaled up to fill in."""
     known = targets.where("mixture is not null and source is not null and target_share > 0 and max_repeats > 0")
@@ -35,8 +36,12 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     share = F.when(F.col("tokens") > 0, F.col("target_share") / F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(mix)).otherwise(0.0)
     rows = rows.withColumn("share", share)
     rows = rows.withColumn("total", F.min(F.when(F.col("share") > 0, F.col("max_repeats") * F.col("tokens") / F.col("share"))).over(mix))
-    late = 1 - 2 * F.percent_rank().over(mix.orderBy("share", "source"))
-    rows = rows.withColumn("late", late).withColumn("slope", F.lit(TILT) * (F.col("late") - F.sum(F.col("late") * F.col("share")).over(mix)))
+    if schedules is None:
+        rows = rows.withColumn("late", 1 - 2 * F.percent_rank().over(mix.orderBy("share", "source")))
+    else:
+        given = _checked(schedules).where("mixture is not null and source is not null").groupBy("mixture", "source").agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.avg("tilt"))).alias("late"))
+        rows = rows.join(F.broadcast(given), ["mixture", "source"], "left").withColumn("late", F.coalesce("late", F.lit(0.0)))
+    rows = rows.withColumn("slope", F.lit(TILT) * (F.col("late") - F.sum(F.col("late") * F.col("share")).over(mix)))
     return rows.select("mixture", "source", "target_share", "max_repeats", "tokens", F.coalesce(F.col("share") * F.col("total"), F.lit(0.0)).alias("demand"), "slope")
 
 
@@ -58,14 +63,16 @@ def _checked(targets: DataFrame) -> DataFrame:
     return targets
 
 
-def mix(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mixture, position, source, id, repeat_no, n_tokens): the selection of each mixture in training order, from sizes (id, source, n_tokens) and
-    targets (mixture, source, target_share, max_repeats).
+def mix(sizes: DataFrame, targets: DataFrame, schedules: DataFrame | None = None) -> DataFrame:
+    """(mixture, position, source, id, repeat_no, n_tokens): the selection of each mixture in training order, from sizes (id, source, n_tokens),
+    targets (mixture, source, target_share, max_repeats) and schedules (see plan).
 
     A document is used at most max_repeats times, each time in another pass over its source; the last pass stops where the demand is met (to the
     nearest document). Documents without tokens or source, and sources that no target names, aren't used. Repeated ids are documents of their own."""
-    planned = materialise(plan(sizes, _checked(targets)), "mixing-plan")
-    uses = offsets(sizes).join(F.broadcast(planned.where("demand > 0")), "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)))
+    planned = materialise(plan(sizes, _checked(targets), schedules), "mixing-plan")
+    # as many passes over a source as its demand needs, which are max_repeats at most
+    passes = F.least(F.col("max_repeats"), F.ceil(F.col("demand") / F.col("tokens") - 1e-9).cast("int"))
+    uses = offsets(sizes).join(F.broadcast(planned.where("demand > 0")), "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), passes) - 1)))
     middle = F.col("repeat_no") * F.col("tokens") + F.col("start") + F.col("n_tokens") / 2
     x, a = F.col("x"), F.col("slope")
     root = (F.sqrt((1 - a) * (1 - a) + 4 * a * x) - (1 - a)) / (2 * a)

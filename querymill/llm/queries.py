@@ -106,9 +106,31 @@ def p9_selection(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_sizes(spark, sf, "source"), table(spark, sf, "mix_targets")).withColumnRenamed("id", "doc_id")
 
 
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds for any good packing: every document is there, whole unless longer than the container, no container is overfull, and few more are used than must be."""
+    containers, sizes = table(spark, sf, "pack_capacities"), _sizes(spark, sf)
+    packed = materialise(packing.pack(sizes, containers), "packed").join(containers, "container")
+    bins = packed.groupBy("container", "bin_id").agg(F.sum("n_tokens").alias("n"), F.max("capacity_tokens").alias("c")).groupBy("container").agg(F.count_if(F.col("n") > F.col("c")).alias("overfull"), F.count("*").alias("bins"), F.sum("n").alias("tokens"), F.max("c").alias("c"))
+    parts = packed.groupBy("container", "id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("n"), F.max("capacity_tokens").alias("c")).join(sizes.select("id", "n_tokens"), "id")
+    parts = parts.groupBy("container").agg(F.count("*").alias("documents"), F.count_if(F.col("n") != F.col("n_tokens")).alias("changed"), F.count_if(F.col("parts") > F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("c")))).alias("cut_needlessly"))
+    close = F.col("bins") <= F.ceil(F.col("tokens") / F.col("c")) * 1.02 + 1
+    return parts.join(bins, "container").select("container", "documents", "changed", "cut_needlessly", "overfull", close.alias("few_containers"))
+
+
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     targets = table(spark, sf, "mix_targets")
     return mixing.share_report(mixing.mix(_sizes(spark, sf, "source"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_records, p4_found, p4_counts, p5_found, p5_redacted, p6_found, p6_segments, p7_found, p7_leaves, p8_packing, p8_fill, p9_selection, p9_shares, p10_found, p10_messages)}
+def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds for any good selection: no document is used too often, and each source has its share to within the longest documents of the mixture's sources."""
+    targets, sizes = table(spark, sf, "mix_targets"), _sizes(spark, sf, "source")
+    chosen = materialise(mixing.mix(sizes, targets), "mixed")
+    longest = sizes.join(F.broadcast(targets.select("mixture", "source")), "source").groupBy("mixture", "source").agg(F.max("n_tokens").alias("most")).groupBy("mixture").agg(F.sum("most").alias("most"))
+    totals = chosen.groupBy("mixture").agg(F.sum("n_tokens").alias("total")).join(longest, "mixture")
+    rows = mixing.share_report(chosen, targets).join(totals, "mixture").join(targets.select("mixture", "source", "max_repeats"), ["mixture", "source"])
+    near = F.abs(F.col("actual_share") - F.col("target_share")) * F.col("total") <= F.col("most")
+    return rows.select("mixture", "source", "target_share", (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"), near.alias("share_kept"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_records, p4_found, p4_counts, p5_found, p5_redacted, p6_found, p6_segments, p7_found, p7_leaves, p8_packing, p8_fill, p8_checks, p9_selection, p9_shares, p9_checks, p10_found, p10_messages)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,14 +15,16 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _LOADED: dict[str, object] = {}
+_SENT: set[str] = set()
 
 
 def encoding(path: str = TOKENIZER):
-    """The tokenizer of a file of ranks, loaded once in each Python worker."""
+    """The tokenizer of a file of ranks, loaded once in each Python worker. Where the path isn't on a worker's machine, the copy that was sent is read."""
     if path not in _LOADED:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as lines:
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         _LOADED[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _LOADED[path]
@@ -29,6 +32,10 @@ def encoding(path: str = TOKENIZER):
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, keep: list[str] = (), path: str = TOKENIZER) -> DataFrame:
     """(id, n_tokens, kept columns): the size of every text, over the whole text. Null and empty texts have no tokens."""
+    context = df.sparkSession.sparkContext
+    if not context.master.startswith("local") and path not in _SENT:  # workers on other machines get the file once
+        context.addFile(path)
+        _SENT.add(path)
     fields = [f"{c} {df.schema[c].dataType.simpleString()}" for c in keep]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
