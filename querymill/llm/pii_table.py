@@ -9,6 +9,7 @@ from __future__ import annotations
 import random
 import re
 
+SENTENCES = 6000  # composed from words of messages and forms, for 16 copies of the rows
 TYPES = ["email", "phone", "id_number", "address", "name"]
 
 # fixed values: labelled rows; {w} is any word, {t} a town, {n} a small number
@@ -64,6 +65,47 @@ call tel. {phone} | {name} {w} tel. {phone} | {w} {t} tel. {phone} | {name} obit
 """
 
 GIVEN = "anna jonas nadia felix clara hugo ines pavel greta milan tomas elena viktor marta leon rafael edith simon carla bruno olga david monika stefan teresa andre rosa karin martin laura lucia sofia petra julia oskar marek maria peter thomas paul eva lena jan luis pablo diego marie pierre jean luc sophie emma john mary james robert linda susan michael sarah kevin laszlo ivan nina igor yuri sven lars ingrid".split()
+# given and family names that are common in several parts of the world
+WORLD_GIVEN = "rajesh priya amit anil sunita vijay deepak arjun kavita kenji yuki hiroshi akira haruto sakura wei ming li jing xiao min-jun ji-woo fatima ahmed omar layla yusuf aisha hassan mohammed khalid zainab chidi amara kwame ngozi tunde abena mei lan nguyen linh somchai siti putri budi dmitri natalia sergei anastasia olena andrzej katarzyna piotr agnieszka jozef zsofia ferenc ioana mihai dragan jelena nikos eleni mehmet ayse emre zeynep bjorn astrid erik freya mikko aino giovanni francesca matteo chiara joao beatriz thiago camila santiago valentina mateo isabella jorge guadalupe william elizabeth charles jennifer richard patricia joseph barbara daniel nancy brian karen edward helen steven deborah siobhan declan alistair fiona gareth bronwen jurgen wolfgang heike jurgen sabine dieter ursula gunther anneliese etienne camille guillaume margaux".split()
+WORLD_FAMILY = "kumar sharma patel singh gupta mehta rao iyer khan tanaka sato suzuki watanabe yamamoto kobayashi zhang wang chen liu yang huang kim park lee choi nguyen tran pham al-hassan el-sayed haddad mansour rahman hussein okafor adeyemi mensah diallo nkosi santoso wijaya petrov ivanova smirnov kowalski nowak wisniewska horvath nagy popescu ionescu jovanovic papadopoulos yilmaz demir kaya johansson lindqvist nielsen hansen virtanen korhonen rossi russo esposito colombo silva santos oliveira souza garcia rodriguez martinez lopez hernandez perez smith johnson williams brown jones miller davis wilson anderson taylor thompson white harris clark lewis walker young king wright scott green adams nelson carter mitchell roberts turner phillips campbell parker evans edwards murphy kelly o'brien macdonald müller schneider becker hoffmann wagner schäfer koch bauer richter klein wolf schröder dubois lefebvre moreau laurent girard bonnet de-vries jansen bakker visser".split()
+_NAME_LEADS = "call|please call|ask for|contact|regards,|dear|sincerely,|attn:|meeting with|interview with|biography of|books by|signed by|my landlord is|my doctor is|the writer|attorney|herr|frau|mr|mrs.|ms|dr.|señora|sr.|madame|monsieur|signor|signora|patient|tenant:|manager:|kontakt:|ansprechpartner|von|por|de|mijn buurman|où habite|dove abita|dónde vive|is|was|did|met|email from|invoice to|message for|with".split("|")
+_NAME_TAILS = "lawyer|obituary notice|married|net worth|age|reviews|lives here|called yesterday|called about the {w}|, born in {t}|, {t}|wrote the {w}|please|and family|verheiratet|est née à {t}|vive en {t}|thank you|at the {w}|owes me money|passed away|schedule|cv|thesis|moved to {t}".split("|")
+_OTHER = {
+    "email": ("my email is|send it to|reply to|e-mail:|mail|correo|schreib an|scrivi a|write me at|cc|contact|reach me at|or|newsletter for|unsubscribe", "thanks|asap|please|bounced|about the {w}|or call|for details|not working"),
+    "phone": ("my number is|text|ring|fax|mobile|handy|phone:|tel|chiamare|llamar al|appeler le|bel|reach me at|or|whatsapp|call me on|hotline", "after {n}|please|thanks|for details|is busy|today|who is it"),
+    "id_number": ("my {idword} is|{idword}:|{idword}|{idword} #|enter {idword}|valid {idword}|renew {idword}|{idword} nr.", "expired|please|is wrong|thanks|not accepted|copy"),
+    "address": ("i live at|ship to|deliver to|send it to|wohnhaft|wohnt in der|habita en|j'habite|abito in|the office at|apartment at|fire at|meet me at|pizza to|our house,|lost near", ", {t}|, {t} {n}{n}|please|is for rent|on monday|third floor|, ring twice|{t}|for sale"),
+}
+_PLAIN = "please wait for the {w}|the {w} was closed on monday|we moved to {t} in 20{n}|can you send me the {w}|my {w} is {n} years old|reach the {w} before noon|thank you for the {w}|is there a {w} on main street|the red {w} street market|call the {w} office|mail the {w} to {t}|which road goes to {t}|the {w} at number {n}|order {d}{d}{d}{d}{d}{d} has not come|version {d}.{d} of the {w}|der {w} kommt aus {t}|die Straße nach {t} ist gesperrt|le {w} de {t}|el {w} está en {t}|il {w} di {t}|Main Street in {t}|Best {w} in {t}|The Great {w} of {t}|New {w} {w}|Paris Hotel {w}|Bank of {t}|University of {t}|dr. {w}|mr {w}|{n} avenue {w} {w}|{n} avenue {w}|{n} boulevard {w}|numbers {n} {n} {n} {n} {n}|author {w} {w}|{w} author {w}|meine {W} zu Hause {w}|die {W} zu Hause|die {W} von der {W} ist {w}|wie kann ich die {W} {w}|wenn der {W} nicht geht|für eine {W} in {t}|an der alten {W} {w}|laat de {w} buiten staan|voor een oude {w}|{family} {w}|{w} {family} {w}"
+
+_LOOSE = "the a an at by in on near with from after before about and or for to of until tonight today tomorrow yesterday friday sunday morning stolen leaked lost found missing know knows complained met saw heard drop talk party neighbours anyone someone who does has have had was is are be been can could will would you your he she they we it this that there here then just only very again still bei am im an zum zur nach mit und oder der die das ein eine ist war wird hat chez au aux à la le les un une du est et ou avec pour dans en el los las con cerca del y o es fue tiene presso da il lo gli al alla e è con per bij op met naast het een van aan was heeft c'è l'ho dell' d'une qu'il s'est differenza tra fra che qual quale perché come quando dove wie wo wann warum qui quoi où quand comment cómo cuándo dónde alte alten neue neuen große kleinen petite vieille nouvelle vieja nueva pequeña vecchia nuova oude nieuwe Lampe Decke Schüssel Leiter wechseln reinigen ändern kosten machen changer nettoyer cambiar limpiar cambiare pulire".split()
+_OPERATORS = "filetype:pdf|filetype:{w}|intext:{w}|intitle:{w}|allintitle:{w} {w}|related:{host}|cache:{host}|site:{host}|inurl:{w}".split("|")
+
+
+def _around(r: random.Random) -> str:
+    """Zero to three loose words."""
+    return " ".join(r.choice(_LOOSE) if r.random() < 0.65 else "{w}" for _ in range(r.choice([0, 1, 1, 2, 2, 3])))
+
+
+def _sentence(r: random.Random) -> str:
+    """A row of plain words around one to three items, as people write them in messages and forms."""
+    if r.random() < 0.4:
+        parts = [r.choice(_PLAIN.split("|")), _around(r), r.choice(["{given}", "{family}", "{common}", "{w}"]), _around(r), r.choice(_OPERATORS) if r.random() < 0.4 else "{w}", r.choice(["{t}", "{w}", "{given}", "{common}"])]
+        made = ""
+        for part in r.sample(parts, r.randint(1, 5)):
+            made += (r.choices([" ", ", ", ","], [85, 8, 7])[0] if made and part else "") + part
+        return made or "{w}"
+    parts = []
+    for _ in range(r.choice([1, 1, 1, 2, 2, 3])):
+        kind = r.choice(["name", "name", "name", "address", "phone", "email", "id_number"])
+        leads, tails = (_NAME_LEADS, _NAME_TAILS) if kind == "name" else (x.split("|") for x in _OTHER[kind])
+        lead = (r.choice(leads) if r.random() < 0.5 else _around(r)).strip() + " " if r.random() < 0.8 else ""
+        tail = (r.choice(tails) if r.random() < 0.4 else _around(r)) if r.random() < 0.6 else ""
+        lead = lead.lstrip()
+        parts.append(lead + ("{id}" if kind == "id_number" else f"{{{kind}}}") + (tail if tail.startswith(",") else f" {tail}" if tail else ""))
+    return r.choice([", ", " ", " - ", ". ", "; ", " / ", ": "]).join(parts)
+
+
 STEMS = "vandr tolv krest mobr lindesk harv pell quist sorb drav ostrel fenn galv brisk wend zarr thull corv ander peters lind berg fisch schmid gonz ferr mart rod john will hend mol kov nov sob jank".split()
 ENDS = "ellik anich orsen addick ingdal otti ovray usemann erbeck iotta anzade olmsen son sen mann berg er ez ari ini ic ov ova ski".split()
 COMMON = "rose summer paris april river baker church bird lake rice anna bruno simon felix laura".split()
@@ -71,7 +113,7 @@ WORDS = "headache recipe bridge coupon cheap game office forecast dog laptop scr
 TOWN_A = "ne so ru gi mu pe zo lu bi ka sa ta fe du vi no bo li mo va ri ku de".split()
 TOWN_B = "mere stad ville burg field ova ton heim".split()
 HOSTS = ["example", "test", "invalid", "co.example", "com", "org", "de"]
-ID_WORDS = ["passport number", "passport no", "reisepass", "numéro de passeport", "dni", "documento dni", "nif", "nino", "national insurance", "ni number", "steuer-id", "tax id number", "personalausweis", "codice fiscale", "ssn", "social security number", "social security no"]
+ID_WORDS = ["passport", "passport number", "passport no", "reisepass", "numéro de passeport", "dni", "documento dni", "nif", "nino", "national insurance", "ni number", "steuer-id", "tax id number", "personalausweis", "codice fiscale", "ssn", "social security number", "social security no"]
 
 
 def _digits(r: random.Random, n: int) -> str:
@@ -84,6 +126,8 @@ def _family(r: random.Random, family: list[str]) -> str:
 
 def _name(r: random.Random, given: list[str], family: list[str]) -> str:
     g, f = r.choice(given), _family(r, family)
+    if r.random() < 0.3:
+        g, f = r.choice(WORLD_GIVEN), r.choice(WORLD_FAMILY) if r.random() < 0.8 else f
     if r.random() < 0.12:
         f += "-" + _family(r, family)
     kind = r.random()
@@ -115,6 +159,12 @@ def _email(r: random.Random, given: list[str], family: list[str]) -> str:
 
 
 def _phone(r: random.Random) -> str:
+    if r.random() < 0.25:  # a country or trunk prefix and groups of digits
+        lead = r.choice(["+", "+", "00"]) + str(r.choice([31, 34, 39, 41, 43, 45, 46, 48, 61, 81, 91, 55, 7, 32, 351])) if r.random() < 0.6 else ""
+        area = ("(0" + _digits(r, 2) + ")" if not lead and r.random() < 0.3 else ("" if lead else "0") + r.choice("123456789") + _digits(r, r.randint(1, 3)))
+        sep = r.choice([" ", " ", "-", ".", "/"]) if not lead else " "
+        rest = r.choice([_digits(r, 8), _digits(r, 7), f"{_digits(r, 4)} {_digits(r, 4)}", f"{_digits(r, 3)}-{_digits(r, 4)}", f"{_digits(r, 3)} {_digits(r, 2)} {_digits(r, 2)}"])
+        return f"{lead}{' ' if lead else ''}{area}{sep}{rest}"
     a, b = r.choice("23456789") + _digits(r, 2), "0" + _digits(r, 3)
     e = r.choice(["555", "555", _digits(r, 3)])
     return r.choice([f"{a}-{e}-{b}", f"({a}) {e}-{b}", f"{a}.{e}.{b}", f"{a} {e} {b}", f"{a}{e}{b}", f"+1 {a} {e} {b}", f"+1-{a}-{e}-{b}", f"+44 7700 900{_digits(r, 3)}", f"07700 900{_digits(r, 3)}",
@@ -136,21 +186,24 @@ def _id(r: random.Random, word: str) -> str:
 
 
 def _address(r: random.Random) -> str:
-    n = str(r.randint(1, 899))
+    n = str(r.choice([r.randint(1, 9), r.randint(10, 99), r.randint(10, 99), r.randint(100, 999), r.randint(100, 999), r.randint(1000, 9999)]))
     tree = r.choice("orchard chapel birch willow foundry miller lark tannery heron quarry mill station park main oak elm hill bridge".split())
     kind = r.random()
+    if r.random() < 0.55:
+        any_ = "".join(r.choice("bdfgklmnprstvzñlr") + r.choice("aeiouüöáé") for _ in range(r.randint(2, 3))) + r.choice(["", "n", "r", "s", "x"])
+        tree = r.choice([any_, r.choice(WORDS), r.choice("baker church king queen victoria washington lincoln maple cedar pine river lake high market school north south garden castle abbey".split()), r.choice(STEMS) + r.choice(ENDS), r.choice(WORLD_FAMILY)])
     if kind < 0.4:
-        way = r.choice("street st avenue ave road rd drive dr lane ln court ct boulevard blvd".split()) + r.choice(["", "", "", "."])
+        way = r.choice("street st avenue ave road rd drive dr lane ln court ct boulevard blvd street road avenue way place terrace close crescent square parkway".split()) + r.choice(["", "", "", "."])
         side = r.choice(["", "", "", "n ", "s ", "north ", "west ", "e ", "s. "])
         unit = r.choice(["", "", f" unit {r.randint(1, 40)}", f" apt {r.randint(1, 40)}", f" # {r.randint(1, 40)}", f" #{r.randint(1, 40)}", f", apt {r.randint(1, 40)}", f" apt. {r.randint(1, 9)}b"])
         return f"{n} {side}{tree} {way}{unit}"
     if kind < 0.6:
-        stem = r.choice("Birken Linden Mühlen Gerber Schul Garten Berg Kirch Haupt Rosen Wald".split())
+        stem = r.choice([r.choice("Birken Linden Mühlen Gerber Schul Garten Berg Kirch Haupt Rosen Wald Bahnhof Goethe Schiller Markt Wiesen Ring Dorf See Feld Bach".split()), (r.choice(STEMS) + r.choice(ENDS)).capitalize()])
         way = r.choice(["weg", "straße", "strasse", "str.", "gasse", "allee", "platz", "ring"])
         return f"{stem}{way} {n}{r.choice(['', '', 'a', 'b', ' b'])}"
     if kind < 0.82:
         way = r.choice(["rue", "avenue", "chemin", "boulevard", "av.", "allée"])
-        rest = r.choice(["du Moulin", "des Tilleuls", "de la Carrière", "de l'Église", "des Lilas", "Victor Hugo"])
+        rest = r.choice(["du Moulin", "des Tilleuls", "de la Carrière", "de l'Église", "des Lilas", "Victor Hugo", "de la République", "Jean Jaurès", "Pasteur", "des Écoles", "du " + r.choice(STEMS).capitalize() + r.choice(ENDS)])
         return f"{n}{r.choice(['', '', ' bis', ',', ','])} {way} {rest}"
     way, rest = r.choice([("calle", "Molino"), ("calle", "de la Alondra"), ("calle", "del Olmo"), ("avenida", "del Olmo"), ("avenida", "de la Alondra"), ("c/", "de la Alondra"), ("c/", "Molino"), ("plaza", "Mayor"), ("avda.", "del Molino"), ("via", "dei Salici"), ("via", "del Mulino"), ("viale", "dei Tigli"), ("corso", "Roma"), ("via", "Garibaldi")])
     return f"{way} {rest}{r.choice(['', '', ',', ' n.'])} {n}{r.choice(['', '', 'b'])}"
@@ -166,6 +219,8 @@ def _fill(r: random.Random, row: str, lexicon: list[tuple[str, str]]) -> tuple[s
         made = part
         if slot == "w":
             made = r.choice(WORDS) if r.random() < 0.75 else "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(r.randint(2, 3))) + r.choice(["", "x", "n", "r", "s"])
+        elif slot == "W":
+            made = (r.choice(WORDS) if r.random() < 0.5 else "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiouäöü") for _ in range(r.randint(2, 3)))).capitalize()
         elif slot == "t":
             made = (r.choice(TOWN_A) + r.choice(TOWN_A) + r.choice(TOWN_B)).capitalize()
         elif slot == "n":
@@ -201,7 +256,7 @@ def _fill(r: random.Random, row: str, lexicon: list[tuple[str, str]]) -> tuple[s
         text2 = re.sub(r"(?<!\w)(\w)(\w+)", lambda m: m[1].upper() + m[2], text) if style < 0.56 else text
         if style >= 0.75:
             for a, b, kind in spans:
-                if kind == "name":
+                if kind == "name" or kind == "address" and style > 0.85:
                     text2 = text2[:a] + text2[a:b].title() + text2[b:]
     return (text2 if len(text2) == len(text) else text), spans
 
@@ -215,4 +270,5 @@ def expand(lexicon: list[tuple[str, str]], copies: int = 16, seed: int = 5) -> l
     """(text, spans) for every row of the table, several times over."""
     r = random.Random(seed)
     rows = [x.strip() for line in ROWS.strip().splitlines() for x in line.split(" | ")]
-    return [_fill(r, row, lexicon) for _ in range(copies) for row in rows]
+    made = [_fill(r, row, lexicon) for _ in range(copies) for row in rows]
+    return made + [_fill(r, _sentence(r), lexicon) for _ in range(SENTENCES * copies // 16)]

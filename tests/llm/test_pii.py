@@ -77,3 +77,48 @@ def test_query_log_rows(spark):
     df = table(spark, SF, "query_log")
     got = pii.find_pii(df, "record_id", "serp_query_text_url", pii.tagger(table(spark, SF, "name_lexicon"))).collect()
     assert got and all(r.surface for r in got)
+
+
+#: sentences of kinds that the table of labelled rows doesn't hold
+UNSEEN = [
+    ("Please call Robert Johnson at 555-212-0199 about the invoice", [("name", "Robert Johnson"), ("phone", "555-212-0199")]),
+    ("Herr Jürgen Müller, Hauptstraße 12, kommt morgen", [("address", "Hauptstraße 12"), ("name", "Jürgen Müller")]),
+    ("the party is at 7 Baker Street tonight", [("address", "7 Baker Street")]),
+    ("talk by Rajesh Kumar on databases", [("name", "Rajesh Kumar")]),
+    ("kenji tanaka called me twice", [("name", "kenji tanaka")]),
+    ("appointment with Fatima Al-Hassan moved to friday", [("name", "Fatima Al-Hassan")]),
+    ("ruf mich an 0151 23456789", [("phone", "0151 23456789")]),
+    ("you can reach maria.schneider@posteo.example or her office", [("email", "maria.schneider@posteo.example")]),
+    ("neighbours complained about 221 cedar avenue apt 4", [("address", "221 cedar avenue apt 4")]),
+    ("does anyone know Olena Smirnov from school", [("name", "Olena Smirnov")]),
+    ("my SSN 912-34-5678 got leaked", [("id_number", "912-34-5678")]),
+    ("signed, Emma Thompson", [("name", "Emma Thompson")]),
+    ("j'ai rencontré Camille Moreau hier soir", [('name', 'Camille Moreau')]),
+    ("envoyer le colis au 14 rue Pasteur", [("address", "14 rue Pasteur")]),
+    ("mi vecino Santiago Hernandez tiene un perro", [("name", "Santiago Hernandez")]),
+    ("llámame al +34 612 345 678", [("phone", "+34 612 345 678")]),
+    ("passport C12X45T67 stolen in rome", [("id_number", "C12X45T67")]),
+    ("drop by via Garibaldi 8 after work", [("address", "via Garibaldi 8")]),
+    ("contact jane(at)corp.example for tickets", [("email", "jane(at)corp.example")]),
+    ("the lake house has a blue door", []),
+    ("Grand Canyon travel guide 2019", []),
+    ("how many people live in New York City", []),
+    ("buy nike air max 90 size 12", []),
+    ("king street market opening hours", []),
+    ("cheap flights from London to Madrid in march", []),
+    ("error code 80072 windows update", []),
+    ("Lincoln movie cast and crew", []),
+    ("Anna dress pattern free", []),
+    ("invoice for Siobhan O'Brien, 9 Castle Road", [('address', '9 Castle Road'), ('name', "Siobhan O'Brien")]),
+    ("has Dmitri Petrov paid the rent", [("name", "Dmitri Petrov")]),
+    ("thanks, Wei Zhang", [("name", "Wei Zhang")]),
+    ("Schillerstr. 5b ist zu vermieten", [("address", "Schillerstr. 5b")]),
+]
+
+
+def test_unseen_sentences(model):
+    right = wrong = missed = 0
+    for (text, marked), found in zip(UNSEEN, model.items([t for t, _ in UNSEEN])):
+        want, got = set(marked), {(k, text[a:b]) for k, a, b in found}
+        right, wrong, missed = right + len(want & got), wrong + len(got - want), missed + len(want - got)
+    assert right / (right + wrong) > 0.85 and right / (right + missed) > 0.8
