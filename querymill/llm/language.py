@@ -7,6 +7,9 @@ sums; the best place to split a text in two languages is found over all places a
 The machines are fitted on the driver on a bounded sample of labelled texts (SAMPLE_A_LANGUAGE for each language, those
 with the smallest hash) and a few sentences kept here; rows whose label the first fit contradicts are left out of the second, which makes wrong labels
 harmless.
+
+A confidence is the probability that the language is right: a logistic function of the mean margin, of the number of words and of how much of the words' letters the
+machines know, fitted on cut-outs of one word and more from texts kept out of the fit. decided names the language, or `other` where that probability is below OTHER_BELOW.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ PAIRS = [(a, b) for f in FAMILIES.values() for i, a in enumerate(f) for b in f[i
 SAMPLE_A_LANGUAGE = 700
 SEGMENT_WORDS = 5
 SPLIT_GAIN = 1.6
+HELD_OUT = 5  # one of so many labelled texts is kept out of the fit of the machines, for that of the confidence
+OTHER_BELOW = 0.5
 DIM = 1 << 17
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -88,16 +93,18 @@ def _grams(word: str) -> list[int]:
 class Machines:
     """Weights of the family machines and of the pair machines; scores of distinct words are kept until there are too many."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: np.ndarray, sure: np.ndarray | None = None):
         self.weights = weights
+        self.sure = np.array([-8.0, 2.0, 1.2, 8.0]) if sure is None else sure  # of 1, mean margin, log of the number of words, share of known grams
+        self.known = (weights != 0).any(axis=1)
         self.clear()
 
     def __reduce__(self):
-        return Machines, (self.weights,)
+        return Machines, (self.weights, self.sure)
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.weights.shape[1]), np.float32)
+        self.rows = np.zeros((1024, self.weights.shape[1] + 1), np.float32)
 
     def word(self, w: str) -> int:
         at = self.ids.get(w)
@@ -105,11 +112,13 @@ class Machines:
             at = self.ids[w] = len(self.ids)
             if at >= len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[at] = self.weights[_grams(w)].mean(axis=0)
+            grams = _grams(w)
+            self.rows[at, :-1] = self.weights[grams].mean(axis=0)
+            self.rows[at, -1] = self.known[grams].mean()
         return at
 
     def scores(self, texts: list[list[str]]) -> np.ndarray:
-        """(texts, words, machines) for texts of equally many words."""
+        """(texts, words, machines and the share of known grams) for texts of equally many words."""
         if len(self.ids) > 400_000:
             self.clear()
         ids = np.array([[self.word(w) for w in t] for t in texts])  # first: rows may grow
@@ -174,6 +183,8 @@ def _once(model: Machines, split: list[list[str]]) -> list[list[tuple[str, float
         for cut in range(0, len(rows), max(1, 40_000 // int(n))):
             some = rows[cut : cut + max(1, 40_000 // int(n))]
             scores = model.scores([split[k] for k in some])
+            known = np.cumsum(scores[..., -1], axis=1)
+            scores = scores[..., :-1]
             sums = np.cumsum(scores, axis=1)
             by = np.cumsum(_by_language(scores), axis=1)
             single = by[:, -1].max(axis=1)
@@ -184,11 +195,12 @@ def _once(model: Machines, split: list[list[str]]) -> list[list[tuple[str, float
                 best[left.argmax(axis=1) == right.argmax(axis=1)] = -1
                 at, gain = np.where(best > gain, k, at), np.maximum(gain, best)
             mixed = gain > SPLIT_GAIN
-            whole, sure = _languages_of(sums[:, -1]), _confidence(by[:, -1] / n)
+            whole, sure = _languages_of(sums[:, -1]), _confidence(model, by[:, -1], np.full(len(some), n), known[:, -1])
             left = sums[np.arange(len(some)), np.maximum(at, 1) - 1]
             a, b = _languages_of(left), _languages_of(sums[:, -1] - left)
             left_by = by[np.arange(len(some)), np.maximum(at, 1) - 1]
-            sure_a, sure_b = _confidence(left_by / np.maximum(at, 1)[:, None]), _confidence((by[:, -1] - left_by) / np.maximum(n - at, 1)[:, None])
+            left_known = known[np.arange(len(some)), np.maximum(at, 1) - 1]
+            sure_a, sure_b = _confidence(model, left_by, np.maximum(at, 1), left_known), _confidence(model, by[:, -1] - left_by, np.maximum(n - at, 1), known[:, -1] - left_known)
             for r, k in enumerate(some):
                 if mixed[r] and a[r] != b[r]:
                     out[k] = [(LANGUAGES[a[r]], float(sure_a[r]), 0, int(at[r])), (LANGUAGES[b[r]], float(sure_b[r]), int(at[r]), int(n))]
@@ -197,22 +209,61 @@ def _once(model: Machines, split: list[list[str]]) -> list[list[tuple[str, float
     return out
 
 
-def _confidence(means: np.ndarray) -> np.ndarray:
-    """Logistic of the mean margin of a word between the best language and the next."""
-    ranked = np.sort(means, axis=-1)
-    return 1 / (1 + np.exp(-6 * (ranked[..., -1] - ranked[..., -2])))
+def _evidence(by: np.ndarray, n: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """(texts, 4): what the confidence depends on, of summed scores by language, numbers of words and sums of known shares."""
+    ranked = np.sort(by / n[:, None], axis=-1)
+    return np.stack([np.ones(len(by)), ranked[:, -1] - ranked[:, -2], np.log(n), known / n], axis=1)
+
+
+def _confidence(model: Machines, by: np.ndarray, n: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_evidence(by, n, known) @ model.sure, -30, 30)))
+
+
+def cut_outs(model: Machines, held: list[tuple[list[str], str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence of runs of 1, 2, 3, 5 and 8 words and of whole texts, and whether the language found in each is that of its text. Texts whose label the whole text
+    contradicts aren't used: of those the label may be the wrong one."""
+    evidence, right = [], []
+    for tokens, lang in held:
+        scores = model.scores([tokens])[0]
+        by = _by_language(scores[:, :-1])
+        if LANGUAGES[int(_languages_of(scores[:, :-1].sum(axis=0)))] != lang:
+            continue
+        for size in (1, 2, 3, 5, 8, len(tokens)):
+            for a in range(0, len(tokens) - size + 1, max(1, size)):
+                own = slice(a, a + size)
+                evidence.append(_evidence(by[own].sum(axis=0)[None], np.array([size]), scores[own, -1].sum()[None])[0])
+                right.append(LANGUAGES[int(_languages_of(scores[own, :-1].sum(axis=0)))] == lang)
+    return np.array(evidence).reshape(-1, 4), np.array(right, float)
+
+
+def calibrate(model: Machines, held: list[tuple[list[str], str]]) -> Machines:
+    """The machines with a confidence fitted to held-out texts: logistic regression by Newton's method."""
+    x, y = cut_outs(model, held)
+    if len(y) < 200 or y.all():
+        return model
+    w = model.sure.copy() * 0
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(4), x.T @ (y - p) - 1e-3 * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return Machines(model.weights, w)
 
 
 def train(samples: list[tuple[str, str]], epochs: int = 6, seed: int = 3) -> Machines:
-    """Hinge loss with AdaGrad for all machines at once, twice: the second time without rows that the first fit contradicts."""
-    seeds = [(t, c) for c, rows in SEED.items() for t in rows.split("|")] * 5
+    """Hinge loss with AdaGrad for all machines at once, twice: the second time without rows that the first fit contradicts. One of HELD_OUT texts, by its
+    checksum, is kept out and fits the confidence; with too few samples for that it keeps its default."""
+    seeds = [(words(t), c) for c, rows in SEED.items() for t in rows.split("|")]
     kept = [(words(t), c) for t, c in samples]
     kept = [(w, c) for w, c in kept if w and c in LANGUAGES]
-    model = _fit([(words(t), c) for t, c in seeds] + kept, epochs, seed)
+    out = [(w, c) for w, c in kept if crc32(" ".join(w).encode()) % HELD_OUT == 0]
+    kept = [(w, c) for w, c in kept if crc32(" ".join(w).encode()) % HELD_OUT]
+    model = _fit(seeds * 5 + kept, epochs, seed)
     if kept:
         right = segments(model, [" ".join(w) for w, _ in kept])
-        model = _fit([(words(t), c) for t, c in seeds] + [s for s, r in zip(kept, right) if len(r) == 1 and r[0][0] == s[1]], epochs, seed)
-    return model
+        model = _fit(seeds * 5 + [s for s, r in zip(kept, right) if len(r) == 1 and r[0][0] == s[1]], epochs, seed)
+    return calibrate(model, out)
 
 
 def _fit(samples: list[tuple[list[str], str]], epochs: int, seed: int) -> Machines:
@@ -256,9 +307,9 @@ def sample_labels(df: DataFrame, text_col: str, label_col: str, per_language: in
 
 
 def identify(df: DataFrame, id_col: str, text_col: str, label_col: str, model: Machines) -> DataFrame:
-    """(record_id, segment, first_word, end_word, lang, confidence, whole, label_lang): one row for each segment of each text.
+    """(record_id, segment, first_word, end_word, lang, confidence, whole, label_lang, decided): one row for each segment of each text.
 
-    whole tells that the text has only one segment; label_lang is the language the label names, or null. Texts that are null, empty or
+    whole tells that the text has only one segment; decided is lang, or other where the confidence is too low; label_lang is the language the label names, or null. Texts that are null, empty or
     without letters have one row without language. Very long texts are read whole. Other columns are ignored, whatever their names."""
     shape = f"record_id {df.schema[id_col].dataType.simpleString()}, segment int, first_word int, end_word int, lang string, confidence double, whole boolean, label_lang string"
 
@@ -276,7 +327,8 @@ def identify(df: DataFrame, id_col: str, text_col: str, label_col: str, model: M
             yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds)]], ["record_id", "segment", "first_word", "end_word", "lang", "confidence", "whole", "label_lang"])
 
     rows = df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    return rows.mapInArrow(label, shape)
+    decided = F.when(F.col("confidence") < OTHER_BELOW, "other").otherwise(F.col("lang"))
+    return rows.mapInArrow(label, shape).withColumn("decided", decided)
 
 
 def wrong_labels(df: DataFrame, id_col: str, text_col: str, label_col: str, model: Machines) -> DataFrame:

@@ -61,3 +61,22 @@ def test_sample_is_bounded_and_wrong_labels_do_no_harm(spark):
     model = la.train(la.sample_labels(df, "t", "l"))
     right = sum(la.segments(model, [t])[0][0][0] == c for t, c in good)
     assert right / len(good) > 0.97
+
+
+def test_confidence_is_lower_for_short_and_unknown_texts(spark, model):
+    sure = {t: la.segments(model, [t])[0][0][1] for t in ("where is the old house that they have built", "house", "こんにちは 世界")}
+    assert sure["where is the old house that they have built"] > sure["house"] > sure["こんにちは 世界"]
+    df = spark.createDataFrame([(1, "where is the old house that they have built", "en"), (2, "こんにちは 世界", "en")], "i long, t string, l string")
+    assert {r.record_id: r.decided for r in la.identify(df, "i", "t", "l", model).collect()} == {1: "en", 2: "other"}
+
+
+def test_confidence_follows_held_out_accuracy():
+    import random
+
+    r = random.Random(2)
+    bags = {c: [w for t in rows.split("|") for w in t.split()] for c, rows in la.SEED.items()}
+    texts = [(" ".join(r.choice(bags[c] if r.random() < 0.8 else bags[r.choice(la.LANGUAGES)]) for _ in range(r.randint(1, 6))), c) for c in la.LANGUAGES for _ in range(400)]
+    model = la.train(texts[::2])
+    pairs = [(la.segments(model, [t])[0][0][:2], c) for t, c in texts[1::2]]
+    high, low = ([lang == c for (lang, sure), c in pairs if (sure >= 0.9) == side] for side in (True, False))
+    assert len(high) > 100 and sum(high) / len(high) > 0.85 and (not low or sum(low) / len(low) < sum(high) / len(high))
