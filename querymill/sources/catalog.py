@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from querymill.sources.readers import files, pick
@@ -29,8 +31,24 @@ def load(spark: SparkSession, root: str, dataset: str, analysis: str, level: str
     return spark.read.parquet(*pick(paths, sample=sample, half=half))
 
 
+def resolve(spark: SparkSession, root: str, dataset: str, analysis: str) -> str:
+    """The folder of a finished analysis."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    names = [s.getPath().getName() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
+    found = []
+    for name in names:
+        m = re.fullmatch(re.escape(f"{dataset}-{analysis}-") + r"(all|special|\d+)(-english)?", name)
+        if m:
+            found.append((m[2] is None, {"all": float("inf"), "special": -1.0}.get(m[1]) or float(m[1]), name))
+    if not found:
+        raise FileNotFoundError(f"no result of {analysis} for {dataset} under {root}")
+    return f"{root}/{max(found)[2]}"
+
+
 def result(spark: SparkSession, root: str, dataset: str, analysis: str, columns: list[str] | None = None, where=None) -> DataFrame:
-    """A finished analysis, with the columns and rows that are asked for."""
-    df = spark.read.parquet(f"{root}/{output_name([dataset], analysis)}")
+    """A finished analysis, with the columns and rows that are asked for: the one over all files, else the one over the largest sample, in English only if there is
+    no other."""
+    df = spark.read.parquet(resolve(spark, root, dataset, analysis))
     df = df.where(where) if where is not None else df
     return df.select(*columns) if columns else df

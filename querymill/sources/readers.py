@@ -51,6 +51,8 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None, schema=Non
     paths = pick(files(spark, path), first=first)
     if kind is None:
         kinds = {(PurePosixPath(p).suffixes[-2] if p.endswith(".gz") and len(PurePosixPath(p).suffixes) > 1 else PurePosixPath(p).suffix).lstrip(".") for p in paths}
+        if kinds == {"json", "jsonl"}:  # of results written both ways the lines count
+            kinds, paths = {"jsonl"}, [p for p in paths if ".jsonl" in PurePosixPath(p).name]
         if len(kinds) != 1:
             raise ValueError(f"files of several kinds: {sorted(kinds)}")
         kind = kinds.pop()
@@ -68,6 +70,11 @@ def read_raw_json(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(RAW_JSON).json(list(paths))
 
 
+def rows_per_partition(df: DataFrame) -> DataFrame:
+    """(partition, n): how many rows each partition holds."""
+    return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))
+
+
 def key_from_path(column: str = "path", pattern: str = r"([^/]+?)(?:\.[^/.]+)*$"):
     """A key in the file's name, by default the name without its endings."""
     return F.regexp_extract(F.col(column), pattern, 1)
@@ -98,8 +105,8 @@ def split_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, rows.where("parts is null").select("value")
 
 
-def standardise(df: DataFrame, log: str) -> DataFrame:
-    """A raw log under the standard schema: renamed, cast and padded with nulls. Date-times become epoch seconds."""
+def standardise(df: DataFrame, log: str, keep: list[str] = ()) -> DataFrame:
+    """A raw log under the standard schema: renamed, cast and padded with nulls. Date-times become epoch seconds. Other columns go, but for those to keep."""
     df = df.drop(*DROPPED[log]).withColumnsRenamed({k: v for k, v in RENAMES[log].items() if k in df.columns})
     cols = []
     for f in STANDARD.fields:
@@ -110,7 +117,7 @@ def standardise(df: DataFrame, log: str) -> DataFrame:
             cols.append(F.coalesce(text.try_cast("bigint"), F.unix_timestamp(F.try_to_timestamp(text))).alias(f.name))
         else:
             cols.append(F.col(f.name).try_cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    return df.select(*keep, *cols)
 
 
 def fill_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,34 @@ def write(df: DataFrame, path: str, kind: str = "parquet", files: int | None = N
         writer.parquet(path)
 
 
+def write_object(df: DataFrame, path: str) -> None:
+    """A result of one row as one JSON object in a file of that very name; more rows are an error. What was there is replaced."""
+    rows = df.limit(2).toJSON().collect()
+    if len(rows) != 1:
+        raise ValueError("one row makes an object")
+    _put(df.sparkSession, path, rows[0])
+
+
+def _put(spark, path: str, text: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def write_result(spark, value, path: str) -> None:
+    """By the kind of result: a DataFrame as csv files with a header, a dict as a JSON object, a text or several texts (one a line) as a text file."""
+    if isinstance(value, DataFrame):
+        write(value, path, "csv")
+    elif isinstance(value, dict):
+        _put(spark, path, json.dumps(value, ensure_ascii=False))
+    else:
+        _put(spark, path, value if isinstance(value, str) else "\n".join(map(str, value)) + "\n")
+
+
 def compatible_names(df: DataFrame) -> DataFrame:
     """Columns as downstream notebooks know them: kebab case, and `count()` for n."""
     keep = {"serp_query_text_url", "serp_timestamp", "search_provider_name", "serp_url"}
