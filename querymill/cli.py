@@ -8,9 +8,10 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from querymill.operators import vectors
+from querymill.operators import stats, vectors
+from querymill.operators.sets import union_logs
 from querymill.plans import analyses
-from querymill.session import DEFAULTS
+from querymill.session import DEFAULTS, materialise
 from querymill.sources import catalog, readers, writers
 
 LEVELS = ["queries", "words", "named-entities"]
@@ -29,7 +30,7 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("analyser", "presidio-analysis", "questions", "annual-deduplication", "get-deduplication-results"):
         c = commands.add_parser(name)
         c.add_argument("--dataset", nargs="+", required=True)
-        c.add_argument("--analysis", default={"presidio-analysis": "extract-presidio-pii", "questions": "questions", "get-deduplication-results": "get-deduplication-results"}.get(name), choices=sorted(analyses.REGISTRY))
+        c.add_argument("--analysis", default={"presidio-analysis": "extract-presidio-pii", "questions": "questions", "get-deduplication-results": "get-deduplication-results", "annual-deduplication": "count-regular"}.get(name), choices=sorted(analyses.REGISTRY))
         c.add_argument("--struc-level", choices=LEVELS)
         c.add_argument("--sample-files", type=int)
         c.add_argument("--only-english", action="store_true")
@@ -45,8 +46,14 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--analysis", default="embeddings-distance", choices=["embeddings-distance", "projection"])
     c.add_argument("--root", default=".")
     c.add_argument("--num-input-files", type=int, default=12)
-    c.add_argument("--projections", type=int, default=200)
+    c.add_argument("--shuffle-files", action="store_true", help="random files instead of the first ones")
+    c.add_argument("--projections", type=int, default=16_000)
     c.add_argument("--dim", type=int, default=64)
+    c.add_argument("--write-dir", help="for a projection: where its rows are written")
+    c = commands.add_parser("distances", help="the distances of lengths between all pairs of logs, as one CSV table")
+    c.add_argument("--datasets", nargs="+", required=True)
+    c.add_argument("--root", default=".")
+    c.add_argument("--write-dir", required=True)
     c = commands.add_parser("clustering")
     c.add_argument("dataset")
     c.add_argument("--similarity", type=float, default=0.75)
@@ -62,6 +69,10 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _some(paths: list[str], a: argparse.Namespace) -> list[str]:
+    return readers.pick(paths, sample=a.num_input_files) if a.shuffle_files else readers.pick(paths, first=a.num_input_files)
+
+
 def main(argv: list[str] | None = None) -> None:
     a = _parser().parse_args(argv)
     if a.command == "test-cli":
@@ -75,13 +86,23 @@ def main(argv: list[str] | None = None) -> None:
         return
     if a.command == "clustering":
         df = spark.read.parquet(catalog.stage_path(a.root, a.dataset, "get-embeddings")).withColumn("id", F.monotonically_increasing_id())
-        writers.write(vectors.communities(df, "id", "embeddings", a.dim, a.similarity, a.smallest), a.write_dir)
+        df = materialise(df, "clustering")  # the numbers of its rows stay the same
+        members = vectors.communities(df, "id", "embeddings", a.dim, a.similarity, a.smallest)
+        writers.write(members.join(df, "id"), a.write_dir)  # with the query and the vector of each member
+        return
+    if a.command == "distances":
+        lengths = [analyses.query_length_chars(catalog.load(spark, a.root, d, "query-length-chars")).select(F.lit(d).alias("dataset"), F.col("character_count").alias("x"), "n") for d in a.datasets]
+        writers.write(stats.wasserstein(stats.paired(union_logs(*lengths), a.datasets)), a.write_dir, "csv", files=1)
         return
     if a.command == "embeddings-analysis":
-        clouds = [spark.read.parquet(*readers.pick(readers.files(spark, f"{a.root}/{writers.output_name([d], 'get-embeddings')}", ".parquet"), first=a.num_input_files)).select(F.lit(d).alias("dataset"), "embeddings") for d in a.datasets]
+        clouds = [spark.read.parquet(*_some(readers.files(spark, f"{a.root}/{writers.output_name([d], 'get-embeddings')}", ".parquet"), a)).select(F.lit(d).alias("dataset"), "embeddings") for d in a.datasets]
         both = clouds[0].unionByName(clouds[1])
         if a.analysis == "projection":
-            vectors.project(both, "dataset", "embeddings", a.dim).show()
+            if not a.write_dir:
+                raise SystemExit("a projection needs --write-dir")
+            numbered = materialise(both.withColumn("id", F.monotonically_increasing_id()), "projection")
+            placed = vectors.project(numbered, "id", "embeddings", a.dim)
+            writers.write(placed.join(numbered.select("id", "dataset"), "id"), a.write_dir)
         else:
             print(vectors.sliced_wasserstein(both, "dataset", "embeddings", tuple(a.datasets), a.dim, a.projections).first()["distance"])
         return

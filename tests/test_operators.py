@@ -226,3 +226,31 @@ def test_intermediate_tables_are_removed(spark):
         assert materialise(spark.range(3), "gone").count() == 3
         assert len(set(folder.iterdir()) - before) == 1
     assert set(folder.iterdir()) == before
+
+
+def test_resampling_with_replacement(spark):
+    df = spark.range(50).withColumnRenamed("id", "k").repartition(3)
+    rows = sampling.resample(df, 400, "k").collect()
+    assert sorted(r.draw for r in rows) == list(range(400)) and 40 < len({r.k for r in rows}) <= 50
+    assert sampling.resample(df.limit(0), 10, "k").count() == 0
+
+
+def test_pair_overlaps_and_statistics(spark):
+    rows = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "x"), ("c", "z"), ("c", None), ("d", "q")]
+    df = spark.createDataFrame(rows, "d string, v string")
+    got = {(r.ds1, r.ds2): (r.a, r.b, r.either, r.both, r.all_logs) for r in agg.pair_overlaps(df, "d", F.col("v"), ["a", "b", "c"]).collect()}
+    assert got == {("a", "b"): (2, 1, 2, 1, 3), ("a", "c"): (2, 1, 3, 0, 3), ("b", "c"): (1, 1, 2, 0, 3)}
+    close = {(r.ds1, r.ds2): r.both for r in agg.pair_overlap_estimates(df, "d", F.col("v"), ["a", "b", "c"]).collect()}
+    assert close == {("a", "b"): 1, ("a", "c"): 0, ("b", "c"): 0}
+    row = sets.overlap_statistics(df, "d", "v", ["a", "b", "c"], "c").first()
+    assert (row.target_mean, row.rest_mean, row.rest_var) == (0.0, 1.0, 0.0)
+
+
+def test_shares_slices_and_rewrites(spark):
+    counts = spark.createDataFrame([("a", 2), ("b", 3)], "d string, n long")
+    sizes = spark.createDataFrame([("a", 8)], "d string, size long")
+    assert {r.d: r.share for r in agg.share_of_sizes(counts, sizes, ["d"]).collect()} == {"a": 0.25, "b": None}
+    assert [r.id for r in win.slice_of(spark.range(20), 4, 3, ["id"]).collect()] == [4, 5, 6]
+    assert [r.d for r in filters.rewritten(counts, "d", {"a": "c"}).orderBy("d").collect()] == ["b", "c"]
+    v = vectors.centred(spark.createDataFrame([([1.0, 2.0],), ([3.0, 6.0],), (None,)], "v array<double>"), "v").collect()
+    assert sorted(r.centred for r in v if r.centred) == [[-1.0, -2.0], [1.0, 2.0]]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from querymill import cli
 from querymill.plans import analyses
 from querymill.schema import STANDARD
-from querymill.sources import readers, writers
+from querymill.sources import catalog, readers, writers
 from querymill.streaming import counts
 
 
@@ -82,3 +82,51 @@ def test_streaming_counts(spark, tmp_path):
     query = counts.run_available(counts.bucket_counts(stream, "ts", ["k"]), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     assert [(r.k, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", 2)]
+
+
+def test_cli_distances_deduplication_and_projection(spark, tmp_path):
+    root = str(tmp_path)
+    schema = "serp_query_text_url string, serp_timestamp long, search_provider_name string"
+    for name, texts in (("aol", ["a", "bb", "bb"]), ("aql", ["bb", "cccc"])):
+        spark.createDataFrame([(t, 1_100_000_000, "p") for t in texts], schema).coalesce(1).write.parquet(f"{root}/{name}")
+        spark.createDataFrame([([float(len(t)), 1.0],) for t in texts], "embeddings array<float>").coalesce(1).write.parquet(f"{root}/{name}-get-embeddings-all")
+    cli.main(["distances", "--datasets", "aol", "aql", "--root", root, "--write-dir", f"{root}/d"])
+    row = readers.read_any(spark, f"{root}/d", "csv").first()
+    assert (row.ds1, row.ds2, float(row.distance)) == ("aol", "aql", pytest.approx((1 / 3) * 1 + 0.5 * 2))
+    cli.main(["annual-deduplication", "--dataset", "aql", "aol", "--root", root, "--exact"])
+    years = {r.year: r.both for r in spark.read.parquet(f"{root}/aql-aol-count-regular-all").collect()}
+    assert years[2004] == 1 and years[2005] == 0
+    cli.main(["embeddings-analysis", "--datasets", "aol", "aql", "--analysis", "projection", "--dim", "2", "--shuffle-files", "--root", root, "--write-dir", f"{root}/p"])
+    assert spark.read.parquet(f"{root}/p").groupBy("dataset").count().count() == 2 and spark.read.parquet(f"{root}/p").count() == 5
+    with pytest.raises(SystemExit):
+        cli.main(["embeddings-analysis", "--datasets", "aol", "aql", "--analysis", "projection", "--dim", "2", "--root", root])
+
+
+def test_results_by_kind_and_folders_by_scope(spark, tmp_path):
+    root = str(tmp_path)
+    writers.write_result(spark, {"a": 1, "ü": [2]}, f"{root}/r.json")
+    writers.write_result(spark, ["x", "y"], f"{root}/r.txt")
+    assert (tmp_path / "r.json").read_text() == '{"a": 1, "ü": [2]}' and (tmp_path / "r.txt").read_text() == "x\ny\n"
+    with pytest.raises(ValueError):
+        writers.write_object(spark.range(2), f"{root}/o.json")
+    for name in ("aol-x-5", "aol-x-20", "aol-x-20-english"):
+        (tmp_path / name).mkdir()
+    assert catalog.resolve(spark, root, "aol", "x") == f"{root}/aol-x-20"
+    (tmp_path / "aol-x-all").mkdir()
+    assert catalog.resolve(spark, root, "aol", "x") == f"{root}/aol-x-all"
+    with pytest.raises(FileNotFoundError):
+        catalog.resolve(spark, root, "aol", "y")
+    for kind in ("json", "jsonl"):
+        (tmp_path / "mixed").mkdir(exist_ok=True)
+        (tmp_path / "mixed" / f"r.{kind}").write_text('{"k": "' + kind + '"}\n')
+    assert [r.k for r in readers.read_any(spark, f"{root}/mixed").collect()] == ["jsonl"]
+    assert readers.rows_per_partition(spark.range(10, numPartitions=2)).agg({"n": "sum"}).first()[0] == 10
+
+
+def test_models_run_in_place_of_rules(spark):
+    df = spark.createDataFrame([("red car", 1, "p"), ("red car", 2, "p"), (None, 3, "p")], "serp_query_text_url string, serp_timestamp long, search_provider_name string")
+    load = lambda: lambda texts: [[{"entity": t[:3], "entity_label": "X"}] for t in texts]
+    assert [tuple(r) for r in analyses.run(spark, "extract-named-entities", [df], model=load).collect()] == [("red", "X", 2)]
+    assert [r.entity_label for r in analyses.run(spark, "extract-presidio-pii", [df], model=load).collect()] == ["X", "X"]
+    assert [tuple(r) for r in analyses.run(spark, "query-intent", [df], model=lambda: lambda texts: ["Y"] * len(texts)).collect()] == [("Y", 2)]
+    assert analyses.run(spark, "get-embeddings", [df], share=1.0, model=lambda: lambda texts: [[1.0, 2.0]] * len(texts)).first().embeddings == [1.0, 2.0]
