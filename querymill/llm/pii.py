@@ -183,9 +183,8 @@ def spans(text: str, labels: list[int]) -> list[tuple[str, int, int]]:
     return [x for x in trimmed if "\ufffd" not in text[max(0, x[1] - 1) : x[2] + 1] and _sound(x[0], text[x[1] : x[2]])]
 
 
-# fixed values: how a street with its number first goes on, and words before an address that aren't part of it
+# fixed values: how a street with its number first goes on
 _WAY = re.compile(r"\d+\w?\s+(?:[\w.'-]+\s+){1,3}?(?:street|st|avenue|ave|road|rd|drive|dr|lane|ln|court|ct|boulevard|blvd)\b\.?(?:,?\s+(?:unit|apt|suite)\b\.?\s*\w+|,?\s*#\s*\w+)?", re.I)
-_BEFORE = re.compile(r"(?:(?:wohnung|house|for|sale|map|of|at|to|directions)\s+)+", re.I)
 
 
 def _trim(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
@@ -203,8 +202,6 @@ def _trim(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
     if kind == "id_number":
         return a, a + len(re.sub(r"(?:\s+[^\W\d_]{2,})+$", "", item))
     if kind == "address":
-        if before := _BEFORE.match(item):
-            a, item = a + before.end(), item[before.end() :]
         if way := _WAY.match(item):
             return a, a + way.end()
         town = re.search(r"\d.*?(,[^\d,]+)$", item, re.S)
