@@ -199,6 +199,8 @@ def _trim(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
         return a + whole.start(), a + whole.end()
     if kind == "name" and (aside := re.search(r"\s+[-–]\s", item)) and aside.start() > 4:
         return a, a + aside.start()
+    if kind == "name" and (whole := re.match(r"(?!(?:van|von|de|del|della|da|la|le|al|el|ter|zu)\s)([^\W\d_.'-][\w.'-]*\s+[^,]*?),", item, re.I)):
+        return a, a + whole.end(1)  # only a family name comes before a comma
     if kind == "id_number":
         return a, a + len(re.sub(r"(?:\s+[^\W\d_]{2,})+$", "", item))
     if kind == "address":
