@@ -231,7 +231,7 @@ def _sound(kind: str, item: str) -> bool:
     return digits == 0 and not re.search(r"\.\.|[^\w\s.,'-]|_|[.]\w{2}", item) and item.count(",") <= 1 and len(re.findall(r"[^\W\d_]+", item)) >= 2 and letters >= 4
 
 
-def train(rows: list[tuple[str, list[tuple[int, int, str]]]], given: set[str], family: set[str], epochs: int = 7, rate: float = 0.2, seed: int = 1) -> Tagger:
+def train(rows: list[tuple[str, list[tuple[int, int, str]]]], given: set[str], family: set[str], epochs: int = 5, rate: float = 0.2, seed: int = 1) -> Tagger:
     """Maximum likelihood by AdaGrad over batches; forward-backward runs over whole batches at once."""
     index: dict[str, int] = {}
     samples = []
