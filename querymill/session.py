@@ -61,12 +61,14 @@ def _hadoop(spark: SparkSession, path: str):
 
 def new_path(spark: SparkSession, label: str) -> str:
     """An unused full path in the shared folder, below a folder of this application that is removed when the driver ends."""
-    known = _folders.get(spark.sparkContext.applicationId)
-    if known is None or not known.startswith(shared_dir(spark)):
-        at, fs = _hadoop(spark, f"{shared_dir(spark)}/querymill-{spark.sparkContext.applicationId}")
-        known = _folders[spark.sparkContext.applicationId] = fs.makeQualified(at).toString()
+    key = (spark.sparkContext.applicationId, shared_dir(spark))
+    known = _folders.get(key)
+    if known is None:
+        at, fs = _hadoop(spark, f"{key[1]}/querymill-{key[0]}")
+        known = fs.makeQualified(at).toString()
         if known.startswith("file:/") and not known.startswith("file://"):
-            known = _folders[spark.sparkContext.applicationId] = known.replace("file:/", "file:///", 1)
+            known = known.replace("file:/", "file:///", 1)
+        _folders[key] = known
         atexit.register(release, spark)
     path = f"{known}/{label}-{uuid.uuid4().hex}"
     for made in _open:
@@ -74,7 +76,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-_folders: dict[str, str] = {}
+_folders: dict[tuple[str, str], str] = {}
 _open: list[list[str]] = []
 
 
@@ -85,10 +87,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Removes all intermediate tables of this application; DataFrames that read them can't be used any more."""
-    folder = _folders.pop(spark.sparkContext.applicationId if spark.sparkContext._jsc else "", None)
-    if folder:
+    own = spark.sparkContext.applicationId if spark.sparkContext._jsc else ""
+    for key in [k for k in _folders if k[0] == own]:
         try:
-            _delete(spark, folder)
+            _delete(spark, _folders.pop(key))
         except Exception:  # the session may be gone when the driver ends
             pass
 
